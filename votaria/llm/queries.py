@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from votaria.expr import key_form
 from votaria.llm.leakage import leaked_passages
 from votaria.llm.mixing import mixture, shares
+from votaria.llm.personal import personal_mentions, redacted
+from votaria.llm.scanrepair import repaired
 from votaria.llm.textform import classes, lookalike_pairs, to_visual
 from votaria.tables import table
 
@@ -37,6 +39,24 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
     return found.join(spellings, ["field", "form_id"]).select("field", "key", F.col("form_id").alias("class_id"), "n_spellings").distinct()
 
 
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
+    blocks = table(spark, root, "docblocks")
+    titles = blocks.where("slug is not null").groupBy("slug").agg(F.min_by("text", "seq").alias("title"))
+    paragraphs = blocks.where("kind = 'para'").select(F.lit("docblocks").alias("src_table"), F.col("block_id").cast("string").alias("rec_key"), "slug", "page", "text")
+    quotes = table(spark, root, "decisions").select(F.inline("citations")).select(F.lit("citations").alias("src_table"), F.col("cite_id").cast("string").alias("rec_key"), "slug", F.lit(None).cast("int").alias("page"), F.col("quote").alias("text"))
+    return repaired(paragraphs.unionByName(quotes).where("rec_key is not null"), titles)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records damaged by scanning, by kind of damage."""
+    return _scanned(spark, root).select("src_table", "rec_key", F.explode("noise").alias("noise")).distinct()
+
+
+def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Every record as continuous paragraphs, repaired."""
+    return _scanned(spark, root).select("src_table", "rec_key", "text", F.array_join("noise", ",").alias("noise")).distinct()
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the evaluation items of which they carry a passage."""
     return leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id").distinct()
@@ -59,12 +79,22 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return shares(*mixture(table(spark, root, "documents"), table(spark, root, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p3_classes, p6_found, p6_report, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Mentions of personal information, by kind and place."""
+    return personal_mentions(table(spark, root, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with placeholders for personal information."""
+    return redacted(table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p3_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 ORACLE: dict[str, str] = {
     "p6_found": """
 with w as (select 'd' as kind, doc_id as id, text from documents where doc_id is not null union all select 'i', item_id, text from eval_items where item_id is not null),
-tok as (select kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[²]', '2', 'g'), '[\\u0300-\\u036f]', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from w where text is not null),
+tok as (select kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[²]', '2', 'g'), '\\p{M}', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from w where text is not null),
 win as (select kind, id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))) as p from tok where len(ws) >= 12)
 select distinct d.id as doc_id, i.id as item_id from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i'""",
 }
