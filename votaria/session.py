@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,3 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` when its counted ``rows`` stay within ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, wherever they run, once for each Spark context.
+
+    The archive is built beside the driver and served by it; no worker reads the driver's disk.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_votaria_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="votaria-package-")) / "votaria.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(archive))
+    context._votaria_shipped = True
