@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from votaria.operators.asof import asof_join
 
 #: Documents (rows) up to which a document dimension is broadcast.
 BROADCAST_ROWS = 100_000
+#: Share of a quote's words that a span has to hold.
+LEAST_SHARED = 0.4
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -83,20 +86,37 @@ def _ratio(a: str, b: str) -> float:
 
 
 def closest_span(quote: str, source: str) -> tuple[str, float]:
-    """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio."""
+    """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio; the first on ties.
+
+    Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; those with less than LEAST_SHARED of the quote's
+    words are no match, and without any the span is empty with ratio 0. Their character counts bound the ratio from
+    above; windows are compared in the order of that bound, until no bound exceeds the best ratio found.
+    """
     q, words = " ".join(quote.split()), source.split()
     n = len(q.split())
+    widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(words)]
+    if not q or not widths:
+        return "", 0.0
+    count = lambda s: np.bincount(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % 512, minlength=512)
+    upto = np.vstack([np.zeros((1, 512), dtype=np.int64), np.cumsum([count(w + " ") for w in words], axis=0)])
+    known = {w: i for i, w in enumerate(dict.fromkeys(q.split()))}
+    ids = np.array([known.get(w, len(known)) for w in words])
+    shared_upto = np.vstack([np.zeros((1, len(known) + 1), dtype=np.int64), np.cumsum(np.eye(len(known) + 1, dtype=np.int64)[ids], axis=0)])
+    own_words = np.bincount([known[w] for w in q.split()], minlength=len(known) + 1)
+    own, windows = count(q), []
+    for width in widths:
+        shared = np.minimum(shared_upto[width:] - shared_upto[:-width], own_words).sum(axis=1)
+        inside = upto[width:] - upto[:-width]
+        inside[:, 32] -= 1  # the last blank
+        bound = 2.0 * np.minimum(inside, own).sum(axis=1) / (inside.sum(axis=1) + len(q))
+        windows += [(-float(bound[i]), width, int(i)) for i in np.nonzero(shared >= LEAST_SHARED * n)[0]]
     best, top = "", 0.0
-    for width in sorted({max(3, n - 3), n, n + 3, n + 8}):
-        if width > len(words) or not width:
-            continue
-        step = max(1, width // 4)
-        starts = list(range(0, len(words) - width + 1, step))
-        score, start = max(((_ratio(q, " ".join(words[i : i + width])), -i) for i in starts), default=(0.0, 0))
-        near = range(max(0, -start - step), min(len(words) - width, -start + step) + 1)
-        score, start = max([(score, start), *((_ratio(q, " ".join(words[i : i + width])), -i) for i in near)])
-        if score > top:
-            best, top = " ".join(words[-start : -start + width]), score
+    for bound, width, i in sorted(windows):
+        if -bound <= top:
+            break
+        candidate = " ".join(words[i : i + width])
+        if (r := _ratio(q, candidate)) > top:
+            best, top = candidate, r
     return best, top
 
 

@@ -146,6 +146,8 @@ def repaired_citations(f: Frames) -> DataFrame:
     words = lambda c: F.array_distinct(F.split(tx.match_key(c), " "))
     scored = missed.join(_blocks(f).distinct(), "slug").withColumn("shared", F.size(F.array_intersect(words(F.col("quote")), words(F.col("text")))))
     best = scored.groupBy("slug", "quote").agg(F.max_by("text", F.struct("shared", "text")).alias("text"))
+    # few bytes, much work: keep one task per core, which adaptive execution would merge
+    best = best.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "quote")
     spans = best.withColumn("found", match.closest_spans("quote", "text")).select("slug", "quote", "found.span", F.round("found.ratio", 4).alias("ratio"))
     joined = checked.where("not verbatim").join(spans, ["slug", "quote"], "left")
     return joined.select("run_id", "cid", "cite_id", F.when(F.col("ratio") >= 0.75, F.col("span")).alias("span"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("ratio") >= 0.75, "corrected").otherwise("unverifiable").alias("verdict"))
