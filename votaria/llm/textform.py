@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votaria.session import cut
+
 # Letters of other scripts that look like a Latin letter, and the Latin letter.
 LOOKALIKES = dict(zip("аеорсухѕіјԁһԛԝАВЕКМНОРСТХЅІЈԌ", "aeopcyxsijdhqwABEKMHOPCTXSIJG", strict=True)) | dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovcjABEZHIKMNOPTYX", strict=True)) | dict(zip("ӓӧӐӒӦёїЁЇ", "äöĂÄÖëïËÏ", strict=True))
 # Hyphens that print like the plain one.
@@ -85,11 +87,12 @@ def classes(records: DataFrame, by: list[str], text: str) -> DataFrame:
 
     Adds ``form_id`` (128-bit hash of the common form) and ``raw_id`` (of the characters). Only classes with two or
     more different spellings stay. Hashes travel, texts don't; the spread of spellings is tested by a combinable
-    min/max, so a class with a third of all rows is no more than one row in each map task. Null texts are left out.
+    min/max, so a class with a third of all rows is no more than one row in each map task. The hashes are written once,
+    as both sides need them. Null texts are left out.
     """
     form = to_visual(text)
     wide = lambda c: F.substring(F.sha2(c, 256), 1, 32)
-    hashed = records.where(F.col(text).isNotNull()).withColumn("form_id", wide(form)).withColumn("raw_id", wide(F.col(text))).drop(text)
+    hashed = cut(records.where(F.col(text).isNotNull()).withColumn("form_id", wide(form)).withColumn("raw_id", wide(F.col(text))).drop(text))
     many = hashed.groupBy(*by, "form_id").agg(F.min("raw_id").alias("_a"), F.max("raw_id").alias("_b")).where("_a <> _b").select(*by, "form_id")
     return hashed.join(many, [*by, "form_id"], "left_semi")
 
@@ -99,7 +102,7 @@ def lookalike_pairs(records: DataFrame, by: list[str], key: str, text: str) -> D
 
     Repeated rows give no further pairs; null keys and texts give none. An empty table gives no pairs.
     """
-    found = classes(records.where(F.col(key).isNotNull()), by, text).select(*by, "form_id", "raw_id", key).distinct()
+    found = cut(classes(records.where(F.col(key).isNotNull()), by, text).select(*by, "form_id", "raw_id", key).distinct())
     a = found.select(*by, "form_id", F.col("raw_id").alias("_raw_a"), F.col(key).alias("key_a"))
     b = found.select(*by, "form_id", F.col("raw_id").alias("_raw_b"), F.col(key).alias("key_b"))
     return a.join(b, [*by, "form_id"]).where("key_a < key_b and _raw_a <> _raw_b").select(*by, "key_a", "key_b").distinct()
