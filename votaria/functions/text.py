@@ -23,6 +23,11 @@ def _all(c: Column, pairs: dict[str, str]) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs.items(), c)
 
 
+def _strip(c: Column) -> Column:
+    """Without blanks and line ends around it."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def entities(c: Column) -> Column:
     """Named entities of ENTITIES and decimal ones below 256 decoded; the ampersand last, so nothing is decoded twice."""
     numbers = {f"&#{i};": chr(i) for i in (32, 34, 38, 39, 45, 160, 173, 196, 197, 214, 228, 229, 233, 246)}
@@ -34,7 +39,7 @@ def clean_html(c: Column) -> Column:
     text = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
     text = F.translate(F.replace(entities(F.regexp_replace(text, r"<[^>]*>", "")), F.lit("­"), F.lit("")), "\xa0", " ")
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t]+\n", "\n")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return _strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def plain(c: Column) -> Column:
@@ -57,7 +62,7 @@ def normalise_lines(c: Column) -> Column:
     text = F.regexp_replace(_all(c, LIGATURES), r"[​-‏⁠﻿]", "")
     text = F.regexp_replace(F.regexp_replace(text, r"(?U)(?<=\p{L})[-¬­][ \t]*\n(?=\p{Ll})", ""), r"\.{4,}", " ")
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*[\d .,%/–-]+\s*$") & (F.regexp_count(x, F.lit(r"[\x01-\x08\x0b-\x1f\x7f-\x9fĀ-ɏ]")) < 2))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    return _strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def scrub(c: Column, labelled: Column | None = None) -> Column:

@@ -55,8 +55,10 @@ def tolerant_records(spark: SparkSession, path: str, schema: str = DECISION) ->
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), text.alias("t"))
     nested = F.get_json_object("t", "$.decisions")
     lines = F.transform(F.split("t", "\n"), lambda x: F.regexp_replace(F.trim(x), r",\s*$", ""))
-    whole = F.expr("try_parse_json(t)").isNotNull()
-    items = F.when(whole & F.col("t").startswith("["), F.from_json("t", "array<string>")).when(whole & nested.isNotNull(), F.from_json(nested, "array<string>")).when(whole, F.array("t")).otherwise(lines)
+    # within brackets nothing may follow the value, so a file of lines is not taken for its first one
+    inside = F.concat(F.lit("["), F.regexp_replace("t", r",\s*$", ""), F.lit("]"))
+    whole = F.call_function("try_parse_json", inside).isNotNull()
+    items = F.when(whole & F.col("t").startswith("["), F.from_json("t", "array<string>")).when(whole & nested.isNotNull(), F.from_json(nested, "array<string>")).when(whole, F.from_json(inside, "array<string>")).otherwise(lines)
     each = files.select("file", F.explode(items).alias("j")).where(F.col("j").startswith("{") & F.expr("try_parse_json(j)").isNotNull())
     return each.select("file", F.from_json("j", schema).alias("r")).select("file", "r.*")
 
