@@ -24,7 +24,9 @@ _BLANKS = re.compile(r"[^\S\n]")
 _LINE_ENDS = re.compile("\r\n?|[\x0b\x0c\x1c-\x1e\x85  ]")
 _LOOKALIKE_TABLE = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(h): "-" for h in HYPHENS}
 #: Texts of these characters alone are already in the visual form, but for trailing blanks.
+_END_BLANKS = re.compile(r" +(?=\n|$)")
 PLAIN = r"^[\n -~åäöÅÄÖéüÉ²³½«»–—†°…•¬]*$"
+_PLAIN = re.compile(PLAIN[:-1] + r"\Z")
 
 
 class _Visual(dict):
@@ -48,10 +50,12 @@ def visual_form(text: str) -> str:
     letters, ligatures and the like take their compatibility form, except where the sign looks different (raised
     digits, fractions); look-alike letters of other scripts become Latin; marks are composed. Case and line ends stay.
     """
+    if _PLAIN.match(text):
+        return _END_BLANKS.sub("", text) if " \n" in text or text.endswith(" ") else text
     text = _IGNORABLE.sub("", _LINE_ENDS.sub("\n", text))
     text = unicodedata.normalize("NFC", text.translate(_VISUAL).translate(_LOOKALIKE_TABLE))
     text = _BLANKS.sub(" ", text)
-    return re.sub(r" +(?=\n|$)", "", text)
+    return _END_BLANKS.sub("", text)
 
 
 def comparison_form(text: str) -> str:
