@@ -144,3 +144,49 @@ def block_kind(c: Column) -> Column:
 def party_of_slug(c: Column) -> Column:
     """The party code among the parts of a slug; null when there is none."""
     return F.try_element_at(F.filter(F.split(F.upper(c), "-"), lambda x: F.array_contains(F.array(*[F.lit(p) for p in PARTIES]), x)), F.lit(1))
+
+
+# Function words that tell Swedish from English.
+SWEDISH_WORDS = ["och", "att", "för", "som", "inte", "till", "med", "av", "en", "ett", "är", "har"]
+ENGLISH_WORDS = ["and", "the", "of", "to", "in", "is", "that", "with", "has", "for", "at", "by"]
+
+
+def count_words(c: Column, words: list[str]) -> Column:
+    """How many of the words of a text are among ``words``."""
+    return F.size(F.filter(F.split(F.lower(collapse(c)), " "), lambda w: w.isin(words)))
+
+
+def language_guess(c: Column) -> Column:
+    """sv or en, by which function words are more; null on a tie."""
+    sv, en = count_words(c, SWEDISH_WORDS), count_words(c, ENGLISH_WORDS)
+    return F.when(sv > en, "sv").when(en > sv, "en")
+
+
+def clean_wikitext(c: Column) -> Column:
+    """Plain text of wiki markup: references, three levels of templates, links, bold and italics."""
+    text = F.regexp_replace(F.regexp_replace(c, r"(?is)<ref[^>/]*>.*?</ref>|<ref[^>]*/>", ""), r"(?s)<!--.*?-->", "")
+    for _ in range(3):
+        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
+    text = F.regexp_replace(text, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
+    return collapse(F.regexp_replace(F.regexp_replace(text, r"\[https?://\S+ ?([^\]]*)\]", "$1"), r"'{2,}", ""))
+
+
+def narrative(c: Column) -> Column:
+    """Running text of a page of tables: tables and scripts go, words are joined over lines, numeric lines are dropped."""
+    text = F.regexp_replace(c, r"(?is)<(table|script|style)\b.*?</\1>", " ")
+    text = entities(F.regexp_replace(text, r"<[^>]+>", "\n"))
+    return normalise_lines(text)
+
+
+def reservations(c: Column) -> Column:
+    """Reservations in a report as ``array<struct<point, parties, body>>``: a heading 'punkt N (A, B)', then the body; short bodies are left out."""
+    pattern = r"(?s)[Pp]unkt (\d+) \(([A-ZÅÄÖ, ]+)\)\s*(.*?)(?=\s*[Pp]unkt \d+ \([A-ZÅÄÖ, ]+\)|\z)"
+    part = lambda i: F.regexp_extract_all(c, F.lit(pattern), F.lit(i))
+    zipped = F.arrays_zip(part(1).alias("point"), part(2).alias("parties"), part(3).alias("body"))
+    made = F.transform(zipped, lambda x: F.struct(x["point"].cast("int").alias("point"), F.split(x["parties"], r",\s*").alias("parties"), collapse(x["body"]).alias("body")))
+    return F.filter(made, lambda x: F.length(x["body"]) >= 40)
+
+
+def letter_label(i: Column) -> Column:
+    """A, B, C … for 0, 1, 2 …"""
+    return F.chr(F.lit(65) + i)

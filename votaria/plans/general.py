@@ -109,3 +109,14 @@ ORACLE = {
     "p2_found": f"with {_REFS} select distinct src_table, ref_field, ref_value, period, reason from orphan",
     "p2_report": f"with {_REFS} select src_table, ref_field, period, reason, count(*) as n_rows, count(distinct ref_value) as n_ids from orphan group by all",
 }
+
+_ITEMS = """items as (
+  select 'source_partier' as field, upper(trim(votering_id)) as votering_id, trim(alt_id) as alt_id, source_partier as t from alternatives where trim(votering_id) <> ''
+  union select 'motforslag_nummer', upper(trim(votering_id)), '', motforslag_nummer from cases where trim(votering_id) <> ''),
+tk as (select field, votering_id, alt_id, t, list_filter(list_transform(
+    regexp_extract_all(t, '"(?:[^"\\\\]|\\\\.|"")*"|''[^'']*''|[^,;|/&+\\s\\[\\](){}"'']+'),
+    lambda x: case when x[1] = '"' then trim(replace(replace(x[2:-2], '\\"', '"'), '""', '"')) when x[1] = '''' then trim(x[2:-2]) when lower(x) = 'och' then '' else x end), lambda x: x <> '') as vs from items where t is not null)"""
+
+
+ORACLE["p4_found"] = f"with {_ITEMS} select distinct field, votering_id, alt_id, generate_subscripts(vs, 1)::int as pos, unnest(vs) as value from tk where len(vs) >= 2"
+ORACLE["p4_profile"] = f"with {_ITEMS} select field, upper(value) as value, count(*) as n, min(pos) as first_pos from (select distinct field, votering_id, alt_id, generate_subscripts(vs, 1)::int as pos, unnest(vs) as value from tk) group by all"
