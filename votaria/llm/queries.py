@@ -10,7 +10,7 @@ from votaria.llm.leakage import leaked_passages
 from votaria.llm.mixing import mixture, shares
 from votaria.llm.personal import personal_mentions, redacted
 from votaria.llm.scanrepair import repaired
-from votaria.llm.textform import classes, lookalike_pairs, to_visual
+from votaria.llm.textform import classes, lookalike_pairs, to_comparison, to_visual
 from votaria.tables import table
 
 
@@ -28,8 +28,8 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, root: str) -> DataFrame:
-    """Every passage in the common form."""
-    return _texts(spark, root).where("key is not null").select("field", "key", to_visual("text").alias("text")).distinct()
+    """Every passage in the common form, and in the folded one that ignores case and compatibility as well."""
+    return _texts(spark, root).where("key is not null").distinct().select("field", "key", to_visual("text").alias("text"), to_comparison("text").alias("folded")).distinct()
 
 
 def p3_classes(spark: SparkSession, root: str) -> DataFrame:
@@ -91,10 +91,12 @@ def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p3_classes, p5_found, p5_repaired, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_redacted)}
 
-ORACLE: dict[str, str] = {
-    "p6_found": """
-with w as (select 'd' as kind, doc_id as id, text from documents where doc_id is not null union all select 'i', item_id, text from eval_items where item_id is not null),
+_WINDOWS = """
+w as (select 'd' as kind, doc_id as id, text from documents where doc_id is not null union all select 'i', item_id, text from eval_items where item_id is not null),
 tok as (select kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[²]', '2', 'g'), '\\p{M}', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from w where text is not null),
-win as (select kind, id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))) as p from tok where len(ws) >= 12)
-select distinct d.id as doc_id, i.id as item_id from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i'""",
+win as (select kind, id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))) as p from tok where len(ws) >= 12)"""
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"with {_WINDOWS} select distinct d.id as doc_id, i.id as item_id from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i'",
+    "p6_report": f"with {_WINDOWS} select i.id as item_id, count(distinct d.id) as n_docs, count(distinct i.p) as n_passages from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i' group by i.id",
 }
