@@ -210,3 +210,18 @@ def test_text_expressions(spark, f, value, want):
 def test_flags(spark):
     df = spark.createDataFrame([(["x"], True), (None, True), (["f", "x"], False)], "flags array<string>, hit boolean")
     assert [r[0] for r in df.select(match.with_flag(F.col("flags"), "f", F.col("hit"))).collect()] == [["x", "f"], ["f"], ["x"]]
+
+
+def test_proposals_in_any_characters(spark, monkeypatch):
+    from votaria.plans import context
+
+    texts = ["Avslår motion 2022/23:1 av A.", "Avslår\u00a0motion\u200d2022/23:12 av\u00a0A.", "Rad ett\nmotion ２０２２／２３：４２", "motion 20\u200b22/23:\ufeff7, 8½ m²", "den 2024‐01‐02", "аvslår inget", "", None]
+    want = ["Avslår motion [nr].", "Avslår\u00a0motion\u200d[nr].", "Rad ett\nmotion [nr]", "motion [nr], 8½ m²", "den [datum]", "аvslår inget", ""]
+
+    class Cases:
+        cases = spark.createDataFrame(list(enumerate(texts)), "votering_id int, forslag_text string")
+
+    monkeypatch.setattr(context, "Frames", lambda spark, root: Cases)
+    run = lambda name: context.QUERIES[name](spark, "")
+    assert [r.text for r in run("scrubbed").orderBy("votering_id").collect()] == want
+    assert {r.leak: r.n for r in run("leak_labels").collect()} == {"author": 2, "reference": 2, "date": 1, None: 2}

@@ -232,8 +232,8 @@ _P = "|".join(domain.PARTIES)
 
 @query(f"select votering_id, regexp_replace(regexp_replace(forslag_text, '\\s+av\\s+(?:{_P})\\b', '', 'g'), '{_REF}', '[nr]', 'g') as text from c where regexp_full_match(forslag_text, '[ -~åäöÅÄÖé]*')")
 def scrubbed(f: Frames) -> DataFrame:
-    """Proposals (in plain characters) without author clauses and document numbers."""
-    return f.cases.where(F.col("forslag_text").rlike("^[ -~åäöÅÄÖé]*$")).select("votering_id", tx.scrub(F.col("forslag_text")).alias("text"))
+    """Proposals without author clauses, document numbers and dates, whatever characters they hold; the SQL covers plain ones only."""
+    return f.cases.where("forslag_text is not null").select("votering_id", tx.scrub(F.col("forslag_text")).alias("text"))
 
 
 @query("select kind, count(*) as n from (select case when regexp_matches(forslag_text, '(?i)\\banslag|budget') then 'budget' when regexp_matches(forslag_text, '(?i)proposition') then 'bill' when regexp_matches(forslag_text, '(?i)motion') then 'motion' else 'other' end as kind from c) group by kind")
@@ -250,8 +250,8 @@ def motion_numbers(f: Frames) -> DataFrame:
 
 @query("select leak, count(*) as n from (select case when regexp_matches(forslag_text, '\\((?:" + _P + ")\\)') then 'tag' when regexp_matches(forslag_text, '(?:^|\\W)(?:" + "|".join(domain.PARTY_NAMES).replace("'", "''") + ")(?:\\W|$)') then 'name' when regexp_matches(forslag_text, '\\s+av\\s+(?:[^()\\n]{2,200}?\\((?:" + _P + ")(?:,\\s*(?:" + _P + "))*\\)|(?:" + _P + ")(?:\\W|$))') then 'author' when regexp_matches(forslag_text, '\\d{4}/\\d{2}:\\d+') then 'reference' end as leak from c where regexp_full_match(forslag_text, '[ -~åäöÅÄÖé]*')) group by leak")
 def leak_labels(f: Frames) -> DataFrame:
-    """What gives proposals away."""
-    return f.cases.where(F.col("forslag_text").rlike("^[ -~åäöÅÄÖé]*$")).select(tx.leak_label(F.col("forslag_text")).alias("leak")).groupBy("leak").agg(F.count("*").alias("n"))
+    """What gives proposals away, whatever characters they hold; the SQL covers plain ones only."""
+    return f.cases.where("forslag_text is not null").select(tx.leak_label(F.col("forslag_text")).alias("leak")).groupBy("leak").agg(F.count("*").alias("n"))
 
 
 @query("select votering_id, case when length(rubrik) <= 20 then rubrik else regexp_replace(left(rubrik, 19), ' [^ ]*$', '') || '…' end as short from c where rubrik is not null")
