@@ -225,3 +225,33 @@ def test_proposals_in_any_characters(spark, monkeypatch):
     run = lambda name: context.QUERIES[name](spark, "")
     assert [r.text for r in run("scrubbed").orderBy("votering_id").collect()] == want
     assert {r.leak: r.n for r in run("leak_labels").collect()} == {"author": 2, "reference": 2, "date": 1, None: 2}
+
+
+def test_whole_documents_are_searched_for_quotes(spark, tmp_path, monkeypatch):
+    from votaria.plans import context
+
+    blocks = [(1, "d", 1, 1, "para", "Vi ska ha ett nytt kommvnen hus, om det blir nya pengar till alla i hela landet under året."), (2, "d", 1, 2, "para", "Kommunen ska bygga\nnya cykelvägar."), (3, "d", 1, 3, "para", "Det är bra.")]
+    spark.createDataFrame(blocks, "block_id long, slug string, page int, seq int, kind string, text string").write.parquet(f"{tmp_path}/docblocks.parquet")
+    cites = [(1, "d", "x", "kommvnen ska bygqa nya cykelvagar."), (2, "d", "x", "bygga nya cykelvägar. Det var bra."), (3, "e", "x", "finns inte")]
+
+    class Decided:
+        root = str(tmp_path)
+        decisions = spark.createDataFrame([("r", "c", cites)], "run_id string, cid string, citations array<struct<cite_id: int, slug: string, document: string, quote: string>>")
+
+    Decided.spark = spark
+    monkeypatch.setattr(context, "Frames", lambda spark, root: Decided)
+    got = {r.cite_id: (r.span, r.verdict) for r in context.QUERIES["repaired_citations"](spark, "").collect()}
+    assert got == {1: ("Kommunen ska bygga nya cykelvägar.", "corrected"), 2: ("bygga nya cykelvägar. Det är bra.", "corrected"), 3: (None, "unverifiable")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_equal_brute_force(seed):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeå") for _ in range(r.randrange(1, 9))) for _ in range(25)]
+    source = " ".join(r.choice(words) for _ in range(60))
+    at = r.randrange(30)
+    quote = " ".join(w[:-1] + "x" if r.random() < 0.4 else w for w in source.split()[at : at + 22])
+    n, have = len(quote.split()), source.split()
+    every = [" ".join(have[i : i + w]) for w in {n - 3, n, n + 3, n + 8} for i in range(len(have) - w + 1)]
+    span, ratio = match.closest_span(quote, source)
+    assert ratio == match._ratio(quote, span) == max(match._ratio(quote, w) for w in every)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -85,49 +86,109 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def _rising(masks: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Longest common subsequence of a quote of ``n`` signs and the texts of ``lengths`` signs from each of ``starts``.
+
+    ``masks`` holds per sign of ``codes`` the bits of its places in the quote (64 to a word). Bit-parallel over all starts.
+    """
+    state = np.full((masks.shape[1], len(starts)), ~np.uint64(0))
+    found = np.zeros(lengths.shape, dtype=np.int64)
+    inside = np.full(masks.shape[1], ~np.uint64(0))
+    inside[-1] >>= np.uint64(masks.shape[1] * 64 - n)
+    order = np.argsort(lengths, axis=None, kind="stable")
+    sorted_lengths, done = lengths.ravel()[order], 0
+    for step in range(1, int(lengths.max()) + 1):
+        here = masks[codes[np.minimum(starts + step - 1, len(codes) - 1)]].T
+        carry = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(len(state)):
+            hit = state[k] & here[k]
+            half = state[k] + hit
+            total = half + carry
+            carry = ((half < hit) | (total < half)).astype(np.uint64)
+            state[k] = total | (state[k] & ~here[k])
+        upto = int(np.searchsorted(sorted_lengths, step, side="right"))
+        if upto > done:
+            at = order[done:upto]
+            found.ravel()[at] = np.bitwise_count(~state[:, at % len(starts)] & inside[:, None]).sum(axis=0)
+            done = upto
+    return found
+
+
+class Spans:
+    """The windows of words of one text, searched for any number of quotes."""
+
+    def __init__(self, source: str):
+        self.words = source.split()
+        self.text = " ".join(self.words)
+        points = np.frombuffer(self.text.encode("utf-32-le"), dtype=np.uint32)
+        self.signs, self.codes = np.unique(points, return_inverse=True)
+        sizes = np.array([len(w) + 1 for w in self.words], dtype=np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])  # where each word starts
+        self.known = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        self.ids = np.array([self.known[w] for w in self.words], dtype=np.int64)
+
+    def closest(self, quote: str) -> tuple[str, float]:
+        """The window most like ``quote``, with its Ratcliff/Obershelp ratio; see ``closest_span``."""
+        q = " ".join(quote.split())
+        own = Counter(q.split())
+        n = sum(own.values())
+        widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)]
+        if not q or not widths:
+            return "", 0.0
+        masks = np.zeros((len(self.signs), (len(q) + 63) // 64), dtype=np.uint64)
+        places = {chr(p): i for i, p in enumerate(self.signs)}
+        for i, c in enumerate(q):
+            if c in places:
+                masks[places[c], i // 64] |= np.uint64(1 << (i % 64))
+        starts = np.arange(len(self.words) - widths[0] + 1)
+        ends = np.minimum(starts + np.array(widths)[:, None], len(self.words))
+        lengths = self.at[ends] - self.at[starts] - 1
+        bound = 2.0 * _rising(masks, self.codes, self.at[starts], lengths, len(q)) / (lengths + len(q))
+        fits = starts + np.array(widths)[:, None] <= len(self.words)
+        shared = np.zeros(lengths.shape, dtype=np.int64)
+        for w, most in own.items():
+            if w in self.known:
+                seen = np.concatenate([[0], np.cumsum(self.ids == self.known[w])])
+                shared += np.minimum(seen[ends] - seen[starts], most)
+        fits &= shared >= LEAST_SHARED * n
+        best, top, tried = "", 0.0, set()
+        rows, cols = np.nonzero(fits)
+        for k in np.lexsort((cols, rows, -bound[rows, cols])):
+            row, i = int(rows[k]), int(cols[k])
+            if bound[row, i] <= top:
+                break
+            candidate = self.text[self.at[i] : self.at[i] + lengths[row, i]]
+            if candidate not in tried:
+                tried.add(candidate)
+                if (r := _ratio(q, candidate)) > top:
+                    best, top = candidate, r
+        return best, top
+
+
 def closest_span(quote: str, source: str) -> tuple[str, float]:
     """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio; the first on ties.
 
     Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; those with less than LEAST_SHARED of the quote's
-    words are no match, and without any the span is empty with ratio 0. Their character counts bound the ratio from
-    above; windows are compared in the order of that bound, until no bound exceeds the best ratio found.
+    words are no match, and without any the span is empty with ratio 0. The signs of all matching blocks are a common
+    subsequence, so the longest one bounds the ratio from above; windows are compared in the order of that bound,
+    until no bound exceeds the best ratio found.
     """
-    q, words = " ".join(quote.split()), source.split()
-    n = len(q.split())
-    widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(words)]
-    if not q or not widths:
-        return "", 0.0
-    count = lambda s: np.bincount(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % 512, minlength=512)
-    upto = np.vstack([np.zeros((1, 512), dtype=np.int64), np.cumsum([count(w + " ") for w in words], axis=0)])
-    known = {w: i for i, w in enumerate(dict.fromkeys(q.split()))}
-    ids = np.array([known.get(w, len(known)) for w in words])
-    shared_upto = np.vstack([np.zeros((1, len(known) + 1), dtype=np.int64), np.cumsum(np.eye(len(known) + 1, dtype=np.int64)[ids], axis=0)])
-    own_words = np.bincount([known[w] for w in q.split()], minlength=len(known) + 1)
-    own, windows = count(q), []
-    for width in widths:
-        shared = np.minimum(shared_upto[width:] - shared_upto[:-width], own_words).sum(axis=1)
-        inside = upto[width:] - upto[:-width]
-        inside[:, 32] -= 1  # the last blank
-        bound = 2.0 * np.minimum(inside, own).sum(axis=1) / (inside.sum(axis=1) + len(q))
-        windows += [(-float(bound[i]), width, int(i)) for i in np.nonzero(shared >= LEAST_SHARED * n)[0]]
-    best, top = "", 0.0
-    for bound, width, i in sorted(windows):
-        if -bound <= top:
-            break
-        candidate = " ".join(words[i : i + width])
-        if (r := _ratio(q, candidate)) > top:
-            best, top = candidate, r
-    return best, top
-
-
-def closest_spans(quote: Column | str, source: Column | str) -> Column:
-    """``closest_span`` per row as ``struct<span, ratio>``; null where either side is null."""
-
-    def run(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        found = [closest_span(q, s) if isinstance(q, str) and isinstance(s, str) else (None, None) for q, s in zip(quotes, sources, strict=True)]
-        return pd.DataFrame(found, columns=["span", "ratio"])
-
-    return F.pandas_udf(run, "span string, ratio double")(quote, source)
+    return Spans(source).closest(quote)
+
+
+def closest_spans(quotes: Column | str, source: Column | str) -> Column:
+    """``closest_span`` of each of an array of ``quotes`` as ``array<struct<quote, span, ratio>>``; null where either side is null."""
+
+    def run(quotes: pd.Series, sources: pd.Series) -> pd.Series:
+        def of(listed, source):
+            if listed is None or not isinstance(source, str):
+                return None
+            spans = Spans(source)
+            return [{"quote": q, **dict(zip(("span", "ratio"), spans.closest(q), strict=True))} for q in listed]
+
+        return pd.Series([of(q, s) for q, s in zip(quotes, sources, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<quote:string,span:string,ratio:double>>")(quotes, source)
 
 
 def phrase_match(citations: DataFrame, phrases: DataFrame, document: str, quote: str, name: str) -> DataFrame:

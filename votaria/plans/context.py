@@ -137,18 +137,24 @@ def verbatim_citations(f: Frames) -> DataFrame:
     return match.verbatim(_citations(f), _blocks(f), ["slug"], "quote", "text").select("run_id", "cid", "cite_id", "verbatim")
 
 
+#: Quotes of a document searched by one row; the document is shuffled once for so many.
+QUOTES_AT_ONCE = 8
+
+
 @query()
 def repaired_citations(f: Frames) -> DataFrame:
     """Quotes that are not verbatim, with the closest span of their document and the verdict (ratio 0.75)."""
     checked = match.verbatim(_citations(f).where("trim(quote) <> ''"), _blocks(f), ["slug"], "quote", "text")
     missed = checked.where("not verbatim").select("slug", "quote").distinct()
-    # candidate paragraphs share a rare shape: the most words in common, so that one span search is made per quote
-    words = lambda c: F.array_distinct(F.split(tx.match_key(c), " "))
-    scored = missed.join(_blocks(f).distinct(), "slug").withColumn("shared", F.size(F.array_intersect(words(F.col("quote")), words(F.col("text")))))
-    best = scored.groupBy("slug", "quote").agg(F.max_by("text", F.struct("shared", "text")).alias("text"))
+    # whole documents are searched: a document's paragraphs in order, beside some of its quotes at a time
+    paras = table(f.spark, f.root, "docblocks").where("kind = 'para' and slug is not null and text is not null").select("slug", F.struct("page", "seq", "block_id", "text").alias("p"))
+    whole = paras.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("p"))["text"], " ").alias("text"))
+    group = F.floor((F.row_number().over(Window.partitionBy("slug").orderBy("quote")) - 1) / QUOTES_AT_ONCE)
+    groups = missed.withColumn("group", group).groupBy("slug", "group").agg(F.collect_list("quote").alias("quotes")).join(whole, "slug")
     # few bytes, much work: keep one task per core, which adaptive execution would merge
-    best = best.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "quote")
-    spans = best.withColumn("found", match.closest_spans("quote", "text")).select("slug", "quote", "found.span", F.round("found.ratio", 4).alias("ratio"))
+    groups = groups.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "group")
+    found = groups.select("slug", F.explode(match.closest_spans("quotes", "text")).alias("found"))
+    spans = found.select("slug", "found.quote", "found.span", F.round("found.ratio", 4).alias("ratio"))
     joined = checked.where("not verbatim").join(spans, ["slug", "quote"], "left")
     return joined.select("run_id", "cid", "cite_id", F.when(F.col("ratio") >= 0.75, F.col("span")).alias("span"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("ratio") >= 0.75, "corrected").otherwise("unverifiable").alias("verdict"))
 
