@@ -119,6 +119,13 @@ def test_mixture_keeps_budgets_and_order(spark, monkeypatch):
     assert mixing.mixture(df, t.where("false"))[0].count() == 0
 
 
+def test_quality_counts_the_whole_text():
+    from votaria.llm.mixing import _quality
+
+    assert _quality("a1" * 400) == _quality("1a" * 400) == 0.25  # half are letters, in fixed columns
+    assert _quality("a" * 300 + "1" * 100 + "a" * 2000) == pytest.approx(0.25 + 0.75 * (2300 / 2400 - 0.5) * 2)
+
+
 def test_mixture_is_the_sorted_prefix(spark, monkeypatch):
     docs = [(i, "a", " ".join(["ord"] * (i % 7 + 1))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import importlib
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -37,11 +38,11 @@ def _encoding(tokenizer: str, folder: str):
 
 
 def _quality(text: str) -> float:
-    """Share of letters and blanks, and words of usual length, as a weight from 0.25 to 1."""
+    """Share of letters and blanks of the whole text, and its length up to 400 characters, as a weight from 0.25 to 1."""
     n = len(text)
     if not n:
         return 0.25
-    letters = sum(map(len, text.split())) and sum(c.isalpha() or c == " " for c in text[:: max(1, n // 400)]) / len(text[:: max(1, n // 400)])
+    letters = sum(map(len, text.split())) and sum(k for c, k in Counter(text).items() if c.isalpha() or c == " ") / n
     usual = min(1.0, n / 400)
     return 0.25 + 0.75 * max(0.0, min(1.0, (letters - 0.5) * 2)) * (0.5 + 0.5 * usual)
 
