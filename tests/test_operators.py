@@ -255,3 +255,19 @@ def test_spans_equal_brute_force(seed):
     every = [" ".join(have[i : i + w]) for w in {n - 3, n, n + 3, n + 8} for i in range(len(have) - w + 1)]
     span, ratio = match.closest_span(quote, source)
     assert ratio == match._ratio(quote, span) == max(match._ratio(quote, w) for w in every)
+
+
+@pytest.mark.parametrize(
+    "f, value, want",
+    [
+        (tx.leak_label, "Riksdagen avslog motion 2023/24:1", "outcome"),
+        (tx.leak_label, "enligt HA01AU10", "report"),
+        (tx.leak_label, "se 0A1B2C3D-0000-4000-8000-0123456789ab", "division"),
+        (tx.meanings, "Riksdagen anvisar anslagen för 2025. Mer.", "fördela anslagen"),
+        (tx.meanings, "Riksdagen godkänner regeringens förslag till mål.", "godkänna regeringens förslag; godkänna det som föreslås"),
+        (tx.meanings, "Riksdagen godkänner detta.", "godkänna det som föreslås"),
+        (tx.meanings, "Riksdagen lägger regeringens skrivelse 1 till handlingarna.", "lägga skrivelsen till handlingarna"),
+    ],
+)
+def test_all_labels_and_rules(spark, f, value, want):
+    assert one(spark, value, f) == want
