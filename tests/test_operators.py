@@ -271,3 +271,8 @@ def test_spans_equal_brute_force(seed):
 )
 def test_all_labels_and_rules(spark, f, value, want):
     assert one(spark, value, f) == want
+
+
+def test_a_quote_with_a_sign_changed_in_each_word():
+    span, ratio = match.closest_span("kommvnen skal byqga nyа cykelvegar", "Ett två tre. kommunen skall bygga nya cykelvägar i år")
+    assert span == "kommunen skall bygga nya cykelvägar" and ratio > 0.75

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -15,8 +14,6 @@ from votaria.operators.asof import asof_join
 
 #: Documents (rows) up to which a document dimension is broadcast.
 BROADCAST_ROWS = 100_000
-#: Share of a quote's words that a span has to hold.
-LEAST_SHARED = 0.4
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -124,14 +121,11 @@ class Spans:
         self.signs, self.codes = np.unique(points, return_inverse=True)
         sizes = np.array([len(w) + 1 for w in self.words], dtype=np.int64)
         self.at = np.concatenate([[0], np.cumsum(sizes)])  # where each word starts
-        self.known = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
-        self.ids = np.array([self.known[w] for w in self.words], dtype=np.int64)
 
     def closest(self, quote: str) -> tuple[str, float]:
         """The window most like ``quote``, with its Ratcliff/Obershelp ratio; see ``closest_span``."""
         q = " ".join(quote.split())
-        own = Counter(q.split())
-        n = sum(own.values())
+        n = len(q.split())
         widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)]
         if not q or not widths:
             return "", 0.0
@@ -145,12 +139,6 @@ class Spans:
         lengths = self.at[ends] - self.at[starts] - 1
         bound = 2.0 * _rising(masks, self.codes, self.at[starts], lengths, len(q)) / (lengths + len(q))
         fits = starts + np.array(widths)[:, None] <= len(self.words)
-        shared = np.zeros(lengths.shape, dtype=np.int64)
-        for w, most in own.items():
-            if w in self.known:
-                seen = np.concatenate([[0], np.cumsum(self.ids == self.known[w])])
-                shared += np.minimum(seen[ends] - seen[starts], most)
-        fits &= shared >= LEAST_SHARED * n
         best, top, tried = "", 0.0, set()
         rows, cols = np.nonzero(fits)
         for k in np.lexsort((cols, rows, -bound[rows, cols])):
@@ -168,8 +156,7 @@ class Spans:
 def closest_span(quote: str, source: str) -> tuple[str, float]:
     """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio; the first on ties.
 
-    Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; those with less than LEAST_SHARED of the quote's
-    words are no match, and without any the span is empty with ratio 0. The signs of all matching blocks are a common
+    Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; without any the span is empty with ratio 0. The signs of all matching blocks are a common
     subsequence, so the longest one bounds the ratio from above; windows are compared in the order of that bound,
     until no bound exceeds the best ratio found.
     """
