@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from votaria.llm import leakage, mixing, personal, scanrepair, textform
+from votaria.llm import leakage, mixing, personal, textform
 from votaria.llm.boosting import Boosted
 
 
@@ -172,51 +172,6 @@ def test_boosted_trees_learn_an_interaction():
     assert ((model.probability(x) >= model.threshold) == y).mean() > 0.98
 
 
-# ---- scanned pages ----
-
-CORPUS = "Regeringen avsätter miljoner kronor för att stärka samordningen av kommunernas beredning vilket påverkar förtroendet för utredningen"
-
-
-def lexicon():
-    words = CORPUS.lower().split()
-    return scanrepair.Lexicon([*words, "eu-kommissionens"], np.array([200] * (len(words) + 1)), {})
-
-
-@pytest.mark.parametrize("damaged, right", [("lcronor", "kronor"), ("förtroenclet", "förtroendet"), ("samordnmgen", "samordningen"), ("rniljoner", "miljoner"), ("vilkct", "vilket"), ("avsiitter", "avsätter"), ("a\\/sätter", "avsätter"), ("†", None), ("stärlca", "stärka"), ("pa°verkar", "påverkar"), ("Utredningen", None), ("okänt", None), ("utredn1ngen", "utredningen")])
-def test_misread_words(damaged, right):
-    assert lexicon().correct(damaged.lower(), []) == right
-
-
-def test_a_page_is_put_together():
-    text = "Regeringen avsätter miljoner lcronor för att stärka samord-\n\nPARTIPROGRAM FÖR ALLMOGEN 1\n\nningen av EU-\nkommissionens beredning, jord-\noch skogsbruk 2024.\n— 7 —\nvilket på¬\nverkar"
-    page = scanrepair.read_page(text, "Partiprogram för Allmogen 1", 7)
-    done, kinds = scanrepair.repair(page, lexicon())
-    assert done == "Regeringen avsätter miljoner kronor för att stärka samordningen av EU-kommissionens beredning, jord- och skogsbruk 2024. vilket påverkar"
-    assert kinds == {"header", "pageno", "hyphen", "char"}
-
-
-@pytest.mark.parametrize("line, page, yes", [("7", 7, True), ("7", 8, False), ("Sida 3", 3, True), ("- 4 -", None, True), ("s. 2 (48)", 2, True), ("6/48", 6, True), ("[9]", 9, True), ("xii", 12, True), ("2026.", 2026, False), ("12 345 mkr", 1, False), ("", 1, False), ("i", 1, True)])
-def test_page_numbers(line, page, yes):
-    assert scanrepair.is_page_number(line, page) is yes
-
-
-@pytest.mark.parametrize("line, yes", [("Partiprogram för Allmogen 1", True), ("PARTIPROGRAM FÖR ALLMOGEN 1   7", True), ("Partiprograrn för Allmogcn 1", True), ("P a r t i p r o g r a m  f ö r  A l l m o g e n 1", True), ("Så står det i Partiprogram för Allmogen 1 redan på första sidan.", False), ("Regeringen avsätter miljoner", False)])
-def test_headers(line, yes):
-    assert scanrepair.is_header(line, "Partiprogram för Allmogen 1") is yes
-
-
-def test_scan_repair_on_tables(spark):
-    clean = [("docblocks", str(i), "s", 1, CORPUS) for i in range(20)]
-    data = [*clean, ("docblocks", "90", "s", 2, CORPUS.replace("kronor", "lcronor").replace("stärka", "stär-\nka")), ("citations", "91", None, None, "Titeln här\n" + CORPUS), ("citations", "92", "s", None, CORPUS + "\nTiteln här 3"), ("citations", "93", "s", None, None), ("citations", "94", "s", None, "")]
-    df = spark.createDataFrame(data + data[-4:], "src_table string, rec_key string, slug string, page int, text string").withColumn("words", F.lit("clash"))
-    titles = spark.createDataFrame([("s", "Titeln här")], "slug string, title string")
-    done = {r.rec_key: r for r in scanrepair.repaired(df, titles).collect()}
-    assert done["90"].noise == ["char", "hyphen"] and done["90"].text == CORPUS
-    assert done["91"].noise == [] and done["92"].noise == ["header"] and "93" not in done and done["94"].text == ""
-    assert all(done[str(i)].text == CORPUS and done[str(i)].noise == [] for i in range(20))
-    assert scanrepair.repaired(df.where("false"), titles).count() == 0
-
-
 def test_no_pair_is_lost_by_the_filter(spark):
     # windows of items in documents, whatever their size: the minimum of a window is found wherever the window occurs
     r = random.Random(9)

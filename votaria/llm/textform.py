@@ -58,6 +58,34 @@ def visual_form(text: str) -> str:
     return _END_BLANKS.sub("", text)
 
 
+_WORDS = re.compile(r"[^\W\d_µ]+|µ")
+_HELD = "\ue0ff"
+
+
+def _foreign(word: str) -> bool:
+    """Whether a word is whole in another script: no Latin letter in it, and not look-alikes alone."""
+    return not any(c < "\u0250" or "\u1e00" <= c <= "\u1eff" or unicodedata.normalize("NFKC", c) < "\u0250" for c in word) and any(c not in LOOKALIKES for c in word)
+
+
+def latin_form(text: str) -> str:
+    """The visual form, but with words that are whole in another script, and micro signs, as they are.
+
+    A look-alike letter is taken for Latin only in a word that holds a Latin letter as well, or nothing but look-alikes.
+    """
+    if _PLAIN.match(text) or _HELD in text:
+        return visual_form(text)
+    held: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        if m[0] != "µ" and (m[0].isascii() or not _foreign(m[0])):
+            return m[0]
+        held.append(m[0])
+        return _HELD
+
+    text = visual_form(_WORDS.sub(keep, text))
+    return re.sub(_HELD, lambda _, words=iter(held): next(words), text)
+
+
 def comparison_form(text: str) -> str:
     """NFKC with full case folding, mapped blanks and no ignorables: for comparisons that are to ignore case as well."""
     text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text)).translate(_LOOKALIKE_TABLE)
