@@ -52,6 +52,39 @@ def test_comparison_form_ignores_case():
     assert textform.comparison_form("STRASSE  Ｘ²") == textform.comparison_form("straße x2")
 
 
+def test_canonically_equal_texts_have_one_form():
+    letters = [*textform.LOOKALIKES, *"όίѐёїӓӧйЙÅŚśﬁＡ½²"]
+    for c in letters:
+        for mark in ("", "\u0301", "\u0308", "\u0300", "\u0306"):
+            forms = {textform.visual_form(unicodedata.normalize(f, "x" + c + mark + "y")) for f in ("NFC", "NFD")}
+            assert len(forms) == 1, (c, mark, forms)
+            assert textform.visual_form(forms.copy().pop()) == forms.pop()
+    assert textform.visual_form("\u03cc") == textform.visual_form("\u03bf\u0301") == "ó"
+
+
+def test_both_engines_give_one_form(spark):
+    texts = ["abc" + end for end in ("", "\r", "\u0085", "\u2028", "\n", " \n", "  ", "\r\n", "\x0b", "\u2029", " \u00a0")] + ["a \nb ", "  a", "x\u200b"]
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("v", textform.to_visual("text")).orderBy("i").collect()]
+    assert got == [textform.visual_form(t) for t in texts]
+
+
+def test_equal_forms_are_in_one_block():
+    r = random.Random(8)
+    for text in ["Straße ﬁn ＡBC", "İstanbul ſ K", "x² ½ µ Ω"]:
+        for _ in range(30):
+            d = disguise(text, r)
+            if textform.visual_form(d) == textform.visual_form(text):
+                assert textform.comparison_form(d) == textform.comparison_form(text)
+
+
+def test_a_large_class_is_spread(spark):
+    data = [("f", f"{i:03d}", "hej" if i % 3 else "hеj") for i in range(60)]
+    df = spark.createDataFrame(data, "field string, key string, text string")
+    want = sorted((a[1], b[1]) for a in data for b in data if a[1] < b[1] and a[2] != b[2])
+    for n in (1_000, 7):
+        assert [r[1:] for r in rows(textform.lookalike_pairs(df, ["field"], "key", "text", n))] == want
+
+
 def test_pairs_and_edge_cases(spark):
     data = [("f", "a", "hej du"), ("f", "b", "hеj du"), ("f", "c", "hej du"), ("f", "d", "annat"), ("g", "a", "hеj du"), ("f", None, "hеj du"), ("f", "e", None), ("f", "h", ""), ("f", "i", "​"), ("f", "b", "hеj du"), ("f", "l", "x" * 200_000)]
     df = spark.createDataFrame(data, "field string, key string, text string").withColumn("form_idx", F.lit(1))
@@ -64,28 +97,63 @@ def test_pairs_and_edge_cases(spark):
 # ---- leaks ----
 
 
-def test_leaks_equal_brute_force(spark):
+def corpus():
     r = random.Random(2)
     vocabulary = [f"ord{i}" for i in range(300)]
-    items = [(i, " ".join(r.choices(vocabulary, k=r.randrange(5, 40)))) for i in range(20)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([5, 11, 12, 13, 20, 40, 80, 200])))) for i in range(24)]
     documents = []
-    for d in range(60):
+    for d in range(80):
         words = r.choices(vocabulary, k=r.randrange(0, 300))
         if d % 2:
-            item = items[r.randrange(20)][1].split()
-            n = r.choice([11, 12, 13, 30])
+            item = items[r.randrange(24)][1].split()
+            n = r.choice([11, 12, 13, 30, 60, 100])
             start = r.randrange(max(1, len(item) - n + 1))
             words[len(words) // 2 : len(words) // 2] = [w.upper() + r.choice(["", ",", "."]) for w in item[start : start + n]]
         documents.append((d, "\n".join(words) if d % 5 == 0 else "  ".join(words)))
-    documents += [(90, None), (91, ""), (None, items[0][1]), (1, documents[1][1])]
+    return items, [*documents, (90, None), (91, ""), (None, items[4][1]), (1, documents[1][1])]
+
+
+@pytest.mark.parametrize("share, few", [(0.0, 500_000), (0.0, 0), (0.5, 500_000), (0.9, 0)])
+def test_leaks_equal_brute_force(spark, share, few):
+    items, documents = corpus()
     norm = lambda t: leakage.words_of(t or "")
-    grams = lambda w: {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
-    want = sorted({(d, i) for d, t in documents if d is not None for i, x in items if grams(norm(t)) & grams(norm(x))}, key=repr)
-    df = spark.createDataFrame(documents, "doc_id long, text string").withColumn("passage", F.lit("clash")).withColumn("bucket", F.lit(1))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, t in documents:
+        for i, x in items:
+            run = leakage.run_length(len(norm(x)), share=share)
+            if d is not None and grams(norm(t), run) & grams(norm(x), run):
+                want[d, i] = len(grams(norm(t), 5) & grams(norm(x), 5)) / len(grams(norm(x), 5))
+    df = spark.createDataFrame(documents, "doc_id long, text string").withColumn("passage", F.lit("clash")).withColumn("window", F.lit(1))
     ev = spark.createDataFrame(items, "item_id long, text string")
-    assert rows(leakage.leaked_passages(df, ev).select("doc_id", "item_id").distinct()) == want and want
-    assert leakage.leaked_passages(df, ev.where("false")).count() == 0
-    assert leakage.leaked_passages(df.where("false"), ev).count() == 0
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(df, ev, share=share, broadcast_rows=few).collect()}
+    assert got.keys() == want.keys() and want
+    assert all(got[k].containment == pytest.approx(want[k]) and 0 < got[k].estimate <= 1 and got[k].passages for k in want)
+    if few:
+        assert leakage.leaks(df, ev.where("false"), share=share).count() == 0
+        assert leakage.leaks(df.where("false"), ev, share=share).count() == 0
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    from votaria.llm import bitfilter
+
+    items, documents = corpus()
+    df, ev = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in leakage.leaks(df, ev).collect()}
+    want = pairs()
+    monkeypatch.setattr(bitfilter, "build", lambda *a: np.full(4096, 255, dtype=np.uint8))
+    assert pairs() == want and want
+
+
+def test_the_filter_grows_with_the_hashes(spark):
+    from votaria.llm import bitfilter
+
+    df = spark.range(3_000).select(F.xxhash64("id").alias("h"))
+    bits = bitfilter.build(df, "h", 3_000)
+    assert len(bits) * 8 == bitfilter.size_for(3_000) >= 16 * 3_000
+    own = np.array([r.h for r in df.collect()], dtype=np.int64)
+    assert bitfilter.passes(bits, own).all() and bitfilter.passes(bits, np.random.default_rng(1).integers(0, 1 << 62, 10_000)).mean() < 0.1
+    assert not bitfilter.build(df.where("false"), "h", 0).any()
 
 
 def test_words_ignore_accents_and_signs():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -11,15 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votaria.llm import bitfilter
 from votaria.llm.textform import IGNORABLE
+from votaria.session import cut
 
 #: Consecutive words that make a leak, and words in a shingle.
 PASSAGE_WORDS = 12
 SHINGLE_WORDS = 5
-#: Bits of the filter of the items' minima; its size is fixed, a fuller filter only lets more candidates through.
-FILTER_BITS = 22
-#: Item windows (about 150 bytes each) up to which they are broadcast to meet the candidates.
-BROADCAST_ROWS = 200_000
+#: Item minima (about 30 bytes each), and pairs of a document and an item, up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 
 _DROPPED = re.compile(f"[{IGNORABLE}]")
 
@@ -87,40 +88,104 @@ def window_minima(words: list[list[str]], passage: int = PASSAGE_WORDS, shingle:
     return owner[at], first, m[at]
 
 
-def _windows(batches: Iterable[pd.DataFrame], key: str, text: str, passage: int, shingle: int, passes: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            part = batch.iloc[start : start + 500]
-            words = [words_of(t) for t in part[text]]
-            owner, first, low = window_minima(words, passage, shingle)
-            bucket = (low & mask).astype(np.int64)
-            if passes is not None:
-                hit = (passes[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
-                owner, first, bucket = owner[hit], first[hit], bucket[hit]
-            keys = part[key].to_numpy()
-            yield pd.DataFrame({key: keys[owner], "bucket": bucket, "passage": [" ".join(words[o][f : f + passage]) for o, f in zip(owner, first, strict=True)]})
-
-
-def leaked_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", passage: int = PASSAGE_WORDS, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_key, item_key, passage``: passages of ``passage`` consecutive words of an item found in a document.
-
-    Items and documents of any size are partitioned into windows of the smallest size to report, so that short items
-    are found in long documents without the size bias of MinHash. The items' minima go into a bit filter of fixed
-    size; documents are read once, and only windows whose minimum passes leave the scan. Candidates are verified
-    by equality of the passage, hence of all its shingles. Null texts and keys, and texts under ``passage`` words, give
-    nothing; repeated rows give no further rows.
+def run_length(n_words: int, passage: int = PASSAGE_WORDS, share: float = 0.0) -> int:
+    """Consecutive words that make a leak of an item of ``n_words``."""
+    return max(passage, math.ceil(share * n_words))
+
+
+def size_class(n_words: int, passage: int = PASSAGE_WORDS) -> int:
+    """The size partition of an item: 0 up to twice the passage, 1 up to four times, and so on."""
+    return max(0, (n_words // passage).bit_length() - 1)
+
+
+def window_of(partition: int, passage: int = PASSAGE_WORDS, share: float = 0.0) -> int:
+    """Words in the windows of a size partition: the shortest run that is a leak of its smallest item."""
+    return run_length(passage << partition if partition else passage, passage, share)
+
+
+def _parts(frames: Iterable[pd.DataFrame], size: int = 500) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for start in range(0, len(frame), size):
+            yield frame.iloc[start : start + size]
+
+
+def _item_minima(frames, key: str, text: str, passage: int, shingle: int, share: float) -> Iterator[pd.DataFrame]:
+    for part in _parts(frames):
+        words = [words_of(t) for t in part[text]]
+        keys = part[key].to_numpy()
+        by_window: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) >= passage:
+                by_window.setdefault(window_of(size_class(len(w), passage), passage, share), []).append(i)
+        for window, at in by_window.items():
+            owner, _, low = window_minima([words[i] for i in at], window, shingle)
+            yield pd.DataFrame({key: keys[np.array(at)[owner]], "window": window, "h": low.astype(np.int64)}).drop_duplicates()
+
+
+def _document_minima(frames, key: str, text: str, filters: dict[int, np.ndarray], shingle: int) -> Iterator[pd.DataFrame]:
+    for part in _parts(frames):
+        words = [words_of(t) for t in part[text]]
+        keys = part[key].to_numpy()
+        for window, bits in filters.items():
+            owner, _, low = window_minima(words, window, shingle)
+            hit = bitfilter.passes(bits, low)
+            yield pd.DataFrame({key: keys[owner[hit]], "window": window, "h": low[hit].astype(np.int64)}).drop_duplicates()
+
+
+def _shingles(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[i:] for i in range(n)), strict=False)
+
+
+def verified(document: list[str], item: list[str], run: int, shingle: int = SHINGLE_WORDS) -> tuple[float, list[int]]:
+    """Share of the item's shingles in the document, and where its windows of ``run`` words that stand there begin (each text once)."""
+    mine = set(_shingles(item, shingle))
+    shared = mine.intersection(_shingles(document, shingle))
+    if not shared:
+        return 0.0, []
+    first = {w: i for i, w in reversed(list(enumerate(_shingles(item, run))))}
+    return len(shared) / len(mine), sorted(first[w] for w in set(first).intersection(_shingles(document, run)))
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", passage: int = PASSAGE_WORDS, shingle: int = SHINGLE_WORDS, share: float = 0.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_key, item_key, estimate, containment, passages``: items of which a run of words stands in a document.
+
+    A leak is a run of ``passage`` words, or of ``share`` of the item's words where that is more; ``passages`` tells where
+    in the item such runs begin. Items are partitioned by size. The items of a partition are cut into windows of its
+    shortest leak, and each window, a set of one size, is signed with the MinHash of its shingles; so are the windows of
+    that size of every document, whatever its length. A leaked run holds a window of its partition, whose minimum is then
+    the same on both sides: no leak is lost. Minima of items fill a bit filter for each partition, sized by their
+    count; documents are read once, and only minima that pass leave the scan, as 64-bit hashes. The share of an item's
+    minima met in a document estimates its containment. Every pair with a common minimum is then verified on the
+    texts, by exact containment of shingles and by the run. Null texts and keys, and texts under ``passage`` words, give
+    nothing; documents and items with several texts give a row for each pair of texts.
     """
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = lambda df, c: f"{c} {kind(df, c)}, bucket long, passage string"
     known = lambda df, c: df.where(F.col(c).isNotNull() & F.col(text).isNotNull()).select(c, text)
-    queries = known(items, item_key).mapInPandas(lambda it: _windows(it, item_key, text, passage, shingle, None), schema(items, item_key)).distinct().persist()
-    n = queries.count()
-    bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
-    bits[queries.select("bucket").distinct().toPandas()["bucket"].to_numpy(dtype=np.int64)] = 1
-    passes = documents.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = known(documents, doc_key).mapInPandas(lambda it: _windows(it, doc_key, text, passage, shingle, passes.value), schema(documents, doc_key))
-    queries = queries.select(item_key, "passage")
-    if n <= BROADCAST_ROWS:
-        queries = F.broadcast(queries)
-    return found.select(doc_key, "passage").join(queries, "passage").select(doc_key, item_key, "passage").distinct()
+    context = documents.sparkSession.sparkContext
+    signed = cut(known(items, item_key).mapInPandas(lambda it: _item_minima(it, item_key, text, passage, shingle, share), f"{item_key} {kind(items, item_key)}, window int, h long").distinct())
+    sizes = {r["window"]: r["n"] for r in signed.groupBy("window").agg(F.count_distinct("h").alias("n")).collect()}  # one row for each size partition
+    filters = context.broadcast({w: bitfilter.build(signed.where(F.col("window") == w).select("h").distinct(), "h", n) for w, n in sizes.items()})
+    met = known(documents, doc_key).mapInPandas(lambda it: _document_minima(it, doc_key, text, filters.value, shingle), f"{doc_key} {kind(documents, doc_key)}, window int, h long")
+    total = signed.groupBy(item_key).agg(F.count("*").alias("_minima"))
+    few = signed.count() <= broadcast_rows
+    small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    hits = met.join(F.broadcast(signed) if few else signed, ["window", "h"]).groupBy(doc_key, item_key).agg(F.count_distinct("h").alias("_hits"))
+    pairs = hits.join(F.broadcast(total) if few else total, item_key).select(doc_key, item_key, F.least(F.lit(1.0), F.col("_hits") / F.col("_minima")).alias("estimate"))
+    pairs = cut(pairs)
+    # texts are fetched for pairs with a common minimum alone
+    texts = known(documents, doc_key).withColumnRenamed(text, "_document")
+    both = texts.join(small(pairs, pairs.count()), doc_key).distinct()
+    both = both.join(known(items, item_key).distinct().withColumnRenamed(text, "_item"), item_key)
+
+    def check(frames):
+        for part in _parts(frames):
+            items_of: dict[str, list[str]] = {}
+            done = []
+            for d, i in zip(part["_document"], part["_item"], strict=True):
+                if i not in items_of:
+                    items_of[i] = words_of(i)
+                done.append(verified(words_of(d), items_of[i], run_length(len(items_of[i]), passage, share), shingle))
+            yield pd.DataFrame({doc_key: part[doc_key].to_numpy(), item_key: part[item_key].to_numpy(), "estimate": part["estimate"].to_numpy(), "containment": [c for c, _ in done], "passages": [p for _, p in done]})
+
+    out = f"{doc_key} {kind(documents, doc_key)}, {item_key} {kind(items, item_key)}, estimate double, containment double, passages array<int>"
+    return both.mapInPandas(check, out).where(F.size("passages") > 0)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import importlib
+import sys
 from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +23,23 @@ BUCKET_DOCS = 5_000
 BROADCAST_ROWS = 100_000
 
 
-@lru_cache(maxsize=2)
-def _encoding(tokenizer: str, folder: str):
-    import sys
-
-    import tiktoken
-
+def _pattern(folder: str) -> str:
+    """The pre-tokenising pattern that belongs to the vocabulary files; read on the driver alone."""
     try:
         public = importlib.import_module("public_tokenizers")
     except ImportError:
         sys.path.append(folder.rpartition("/")[0])
         public = importlib.import_module("public_tokenizers")
-    with open(f"{folder}/{tokenizer}", "rb") as lines:
+    return public.PATTERN
+
+
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _quality(text: str) -> float:
@@ -48,10 +53,15 @@ def _quality(text: str) -> float:
 
 
 def measured(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
-    """``documents`` with ``tokens`` and ``quality`` instead of the text; a null text has no tokens."""
+    """``documents`` with ``tokens`` and ``quality`` instead of the text; a null text has no tokens.
+
+    The vocabulary file is read where the driver runs, and served from there to the workers.
+    """
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{tokenizer}")
+    pattern = _pattern(folder)
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        encode = _encoding(tokenizer, folder).encode_ordinary
+        encode = _encoding(SparkFiles.get(tokenizer), pattern).encode_ordinary
         return pd.DataFrame({"tokens": [0 if t is None else len(encode(t)) for t in texts], "quality": [0.25 if t is None else _quality(t) for t in texts]})
 
     sized = F.pandas_udf(run, "tokens long, quality double")(text)

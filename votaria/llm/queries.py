@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votaria.expr import key_form
-from votaria.llm.leakage import leaked_passages
+from votaria.llm.leakage import leaks
 from votaria.llm.mixing import mixture, shares
 from votaria.llm.personal import personal_mentions, redacted
 from votaria.llm.scanrepair import repaired
@@ -59,12 +59,12 @@ def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the evaluation items of which they carry a passage."""
-    return leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p6_report(spark: SparkSession, root: str) -> DataFrame:
     """Per leaked item: documents that carry it and the number of its passages found."""
-    found = leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    found = leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id", F.explode("passages").alias("passage"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("passage").alias("n_passages"))
 
 
