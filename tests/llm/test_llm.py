@@ -232,7 +232,8 @@ def test_no_pair_is_lost_by_the_filter(spark):
     # windows of items in documents, whatever their size: the minimum of a window is found wherever the window occurs
     r = random.Random(9)
     words = [f"w{r.randrange(50)}" for _ in range(200)]
-    owner, first, low = leakage.window_minima([words, words[30:60]])
-    by = {(int(o), int(f)): int(m) for o, f, m in zip(owner, first, low)}
+    found = leakage.window_minima([words, words[30:60]])
+    whole = found.whole(np.ones(len(found.low), dtype=bool))
+    by = {(int(o), int(f)): (int(m), int(w)) for o, f, m, w in zip(found.owner, found.first, found.low, whole)}
     assert all(by[1, f] == by[0, f + 30] for f in range(19))
     assert len(by) == 189 + 19 and len(list(itertools.islice(by, 1)))

@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -59,8 +60,29 @@ def words_of(text: str) -> list[str]:
     return text.translate(_FOLDED).split()
 
 
-def window_minima(words: list[list[str]], passage: int = PASSAGE_WORDS, shingle: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """MinHash of every window of ``passage`` words: (text number, first word, minimum over the window's shingles).
+@dataclass
+class Windows:
+    """Windows of one length over several texts: text number, first word in it and in all, MinHash; and the hashes of all words."""
+
+    owner: np.ndarray
+    first: np.ndarray
+    low: np.ndarray
+    at: np.ndarray
+    hashes: np.ndarray
+    length: int
+
+    def whole(self, pick: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of all words, in order, of the picked windows."""
+        at, total = self.at[pick], np.zeros(int(pick.sum()), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(self.length):
+                total = (total ^ self.hashes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                total ^= total >> np.uint64(29)
+        return total
+
+
+def window_minima(words: list[list[str]], passage: int = PASSAGE_WORDS, shingle: int = SHINGLE_WORDS) -> Windows:
+    """MinHash of every window of ``passage`` words: the minimum over its shingles.
 
     All windows are sets of one size, ``passage - shingle + 1`` shingles; for sets of one size containment is equality,
     so a window of an item that occurs in a text always has its minimum there: one permutation gives full recall.
@@ -68,7 +90,8 @@ def window_minima(words: list[list[str]], passage: int = PASSAGE_WORDS, shingle:
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     n = int(lengths.sum())
     if n < passage:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+        none = np.empty(0, np.int64)
+        return Windows(none, none, np.empty(0, np.uint64), none, np.empty(0, np.uint64), passage)
     h = np.fromiter((_HASHES[x] for w in words for x in w), dtype=np.uint64, count=n)
     owner = np.repeat(np.arange(len(words)), lengths)
     with np.errstate(over="ignore"):
@@ -85,7 +108,7 @@ def window_minima(words: list[list[str]], passage: int = PASSAGE_WORDS, shingle:
         done += step
     at = np.nonzero(owner[: len(m)] == owner[passage - 1 : passage - 1 + len(m)])[0]
     first = at - np.concatenate(([0], np.cumsum(lengths)[:-1]))[owner[at]]
-    return owner[at], first, m[at]
+    return Windows(owner[at], first, m[at], at, h, passage)
 
 
 def run_length(n_words: int, passage: int = PASSAGE_WORDS, share: float = 0.0) -> int:
@@ -118,18 +141,21 @@ def _item_minima(frames, key: str, text: str, passage: int, shingle: int, share:
             if len(w) >= passage:
                 by_window.setdefault(window_of(size_class(len(w), passage), passage, share), []).append(i)
         for window, at in by_window.items():
-            owner, _, low = window_minima([words[i] for i in at], window, shingle)
-            yield pd.DataFrame({key: keys[np.array(at)[owner]], "window": window, "h": low.astype(np.int64)}).drop_duplicates()
+            found = window_minima([words[i] for i in at], window, shingle)
+            whole = found.whole(np.ones(len(found.low), dtype=bool))
+            yield pd.DataFrame({key: keys[np.array(at)[found.owner]], "window": window, "low": found.low.astype(np.int64), "whole": whole.astype(np.int64)}).drop_duplicates()
 
 
-def _document_minima(frames, key: str, text: str, filters: dict[int, np.ndarray], shingle: int) -> Iterator[pd.DataFrame]:
+def _document_windows(frames, key: str, text: str, filters: dict[int, tuple[np.ndarray, np.ndarray]], shingle: int) -> Iterator[pd.DataFrame]:
     for part in _parts(frames):
         words = [words_of(t) for t in part[text]]
         keys = part[key].to_numpy()
-        for window, bits in filters.items():
-            owner, _, low = window_minima(words, window, shingle)
-            hit = bitfilter.passes(bits, low)
-            yield pd.DataFrame({key: keys[owner[hit]], "window": window, "h": low[hit].astype(np.int64)}).drop_duplicates()
+        for window, (low_bits, whole_bits) in filters.items():
+            found = window_minima(words, window, shingle)
+            near = bitfilter.passes(low_bits, found.low)
+            whole = found.whole(near)
+            same = bitfilter.passes(whole_bits, whole)
+            yield pd.DataFrame({key: keys[found.owner[near][same]], "window": window, "whole": whole[same].astype(np.int64)}).drop_duplicates()
 
 
 def _shingles(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
@@ -154,22 +180,24 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     shortest leak, and each window, a set of one size, is signed with the MinHash of its shingles; so are the windows of
     that size of every document, whatever its length. A leaked run holds a window of its partition, whose minimum is then
     the same on both sides: no leak is lost. Minima of items fill a bit filter for each partition, sized by their
-    count; documents are read once, and only minima that pass leave the scan, as 64-bit hashes. The share of an item's
-    minima met in a document estimates its containment. Every pair with a common minimum is then verified on the
-    texts, by exact containment of shingles and by the run. Null texts and keys, and texts under ``passage`` words, give
+    count, and so do hashes of their whole windows; documents are read once, a window whose minimum is a candidate is
+    hashed as a whole, and only 64-bit hashes that pass both leave the scan. The share of an item's minima met in a
+    document estimates its containment. Every pair with a common window is then verified on the texts, by exact
+    containment of shingles and by the run. Null texts and keys, and texts under ``passage`` words, give
     nothing; documents and items with several texts give a row for each pair of texts.
     """
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     known = lambda df, c: df.where(F.col(c).isNotNull() & F.col(text).isNotNull()).select(c, text)
     context = documents.sparkSession.sparkContext
-    signed = cut(known(items, item_key).mapInPandas(lambda it: _item_minima(it, item_key, text, passage, shingle, share), f"{item_key} {kind(items, item_key)}, window int, h long").distinct())
-    sizes = {r["window"]: r["n"] for r in signed.groupBy("window").agg(F.count_distinct("h").alias("n")).collect()}  # one row for each size partition
-    filters = context.broadcast({w: bitfilter.build(signed.where(F.col("window") == w).select("h").distinct(), "h", n) for w, n in sizes.items()})
-    met = known(documents, doc_key).mapInPandas(lambda it: _document_minima(it, doc_key, text, filters.value, shingle), f"{doc_key} {kind(documents, doc_key)}, window int, h long")
-    total = signed.groupBy(item_key).agg(F.count("*").alias("_minima"))
+    signed = cut(known(items, item_key).mapInPandas(lambda it: _item_minima(it, item_key, text, passage, shingle, share), f"{item_key} {kind(items, item_key)}, window int, low long, whole long").distinct())
+    sizes = signed.groupBy("window").agg(F.count_distinct("low").alias("low"), F.count_distinct("whole").alias("whole")).collect()  # a row for each size partition
+    own = lambda r, c: bitfilter.build(signed.where(F.col("window") == r["window"]).select(c).distinct(), c, r[c])
+    filters = context.broadcast({r["window"]: (own(r, "low"), own(r, "whole")) for r in sizes})
+    met = known(documents, doc_key).mapInPandas(lambda it: _document_windows(it, doc_key, text, filters.value, shingle), f"{doc_key} {kind(documents, doc_key)}, window int, whole long")
+    total = signed.groupBy(item_key).agg(F.count_distinct("low").alias("_minima"))
     few = signed.count() <= broadcast_rows
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
-    hits = met.join(F.broadcast(signed) if few else signed, ["window", "h"]).groupBy(doc_key, item_key).agg(F.count_distinct("h").alias("_hits"))
+    hits = met.join(F.broadcast(signed) if few else signed, ["window", "whole"]).groupBy(doc_key, item_key).agg(F.count_distinct("low").alias("_hits"))
     pairs = hits.join(F.broadcast(total) if few else total, item_key).select(doc_key, item_key, F.least(F.lit(1.0), F.col("_hits") / F.col("_minima")).alias("estimate"))
     pairs = cut(pairs)
     # texts are fetched for pairs with a common minimum alone
