@@ -31,7 +31,7 @@ def votes(spark, spec):
 
 
 def test_positions_and_ties(spark):
-    main = roll.main_votes(votes(spark, [("x ", "A", "JJN"), ("X", "F", "JN"), ("x", "n", "NA"), ("x", "KS", "FF"), ("x", "??", "J"), ("x", "HV", "AAN")]))
+    main = roll.member_votes(votes(spark, [("x ", "A", "JJN"), ("X", "F", "JN"), ("x", "n", "NA"), ("x", "KS", "FF"), ("x", "??", "J"), ("x", "HV", "AAN")]))
     got = {r.parti: (r.n_ja, r.n_nej, r.n_avstar, r.n_franvarande, r.position, round(r.cohesion, 3), r.seats) for r in roll.positions(main).collect()}
     assert got == {"A": (2, 1, 0, 0, "Ja", 0.667, 3), "F": (1, 1, 0, 0, "Ja", 0.5, 2), "N": (0, 1, 1, 0, "Nej", 0.5, 2), "KS": (0, 0, 0, 2, "Frånvarande", 1.0, 2), "HV": (0, 1, 2, 0, "Avstår", 0.667, 3)}
     assert rows(roll.chamber(roll.positions(main)).select("ja", "nej", "outcome")) == [(3, 4, "Nej")]
@@ -161,7 +161,7 @@ def test_overlaps_and_greedy_pairs(spark):
     assert rows(match.greedy_pairs(left, right, ["k"])) == [("d", "r1", "b2"), ("d", "r2", "b1"), ("d", "r3", None), ("e", "r4", None)]
     best = match.best_overlap(left.drop("left_order"), right, ["k"], "left_set", "right_set", "right_order")
     assert {r.left_id: r.right_id for r in best.collect()} == {"r1": "b2", "r2": "b1", "r3": "b1", "r4": None}
-    top = match.top_coverage(left.select("k", "left_id", "left_set").where("left_id = 'r1'"), right, ["k"], "left_set", "right_set", "right_order", 1)
+    top = match.top_coverage(left.select("k", "left_id", "left_set").where("left_id = 'r1'"), right, ["k"], ["left_id"], "left_set", "right_id", "right_set", "right_order", 1)
     assert [(r.right_id, r.score) for r in top.collect()] == [("b2", 1.0)]
 
 
@@ -195,12 +195,12 @@ def one(spark, value, expression):
         (lambda c: tx.first_words(c, 2), "ett två tre fyra", "ett två [+2]"),
         (tx.fragment_link, "a b", "#:~:text=a%20b"),
         (tx.fragment_link, "1 2 3 4 5 6 7 8 9 0", "#:~:text=1%202%203%204%205,7%208%209%200"),
-        (tx.meanings, "Riksdagen ställer sig bakom det som anförs om att bygga och tillkännager detta. Därmed bifaller riksdagen motion 1.", "uppmana regeringen: bygga; bifalla motionen"),
-        (tx.meanings, "Något annat. Mer.", "Något annat."),
+        (tx.meanings, "Riksdagen ställer sig bakom det som anförs om att bygga och tillkännager detta. Därmed bifaller riksdagen motion 1.", "ett tillkännagivande som uppmanar regeringen att agera om bygga samt att bifalla motionsyrkanden"),
+        (tx.meanings, "Något annat. Mer.", "Något annat"), (lambda c: tx.meanings(c, "en"), "Riksdagen godkänner regeringens förslag.", "approving the government's proposal and approving what the committee proposes"),
         (tx.block_kind, "• punkt", "bullet"),
         (tx.block_kind, "Inledning ...... 4", "toc"),
         (tx.party_of_slug, "avtal-gr-2024-6", "GR"),
-        (tx.proposal_kind, None, "other"),
+        (lambda c: tx.proposal_kind(c, c), None, "other"), (lambda c: tx.proposal_kind(c, F.lit("FiU1")), "x", "budget"), (lambda c: tx.proposal_kind(c, c), "Riksdagen godkänner regeringens förslag och avslår motion 1", "proposition"),
     ],
 )
 def test_text_expressions(spark, f, value, want):
@@ -263,10 +263,10 @@ def test_spans_equal_brute_force(seed):
         (tx.leak_label, "Riksdagen avslog motion 2023/24:1", "outcome"),
         (tx.leak_label, "enligt HA01AU10", "report"),
         (tx.leak_label, "se 0A1B2C3D-0000-4000-8000-0123456789ab", "division"),
-        (tx.meanings, "Riksdagen anvisar anslagen för 2025. Mer.", "fördela anslagen"),
-        (tx.meanings, "Riksdagen godkänner regeringens förslag till mål.", "godkänna regeringens förslag; godkänna det som föreslås"),
-        (tx.meanings, "Riksdagen godkänner detta.", "godkänna det som föreslås"),
-        (tx.meanings, "Riksdagen lägger regeringens skrivelse 1 till handlingarna.", "lägga skrivelsen till handlingarna"),
+        (tx.meanings, "Riksdagen anvisar anslagen för 2025. Mer.", "att fördela budgetanslagen enligt utskottets förslag"),
+        (tx.meanings, "Riksdagen godkänner regeringens förslag till mål.", "att godkänna regeringens förslag samt att godkänna det som utskottet föreslår"),
+        (tx.meanings, "Riksdagen godkänner detta.", "att godkänna det som utskottet föreslår"),
+        (tx.meanings, "Riksdagen lägger regeringens skrivelse 1 till handlingarna.", "att lägga regeringens skrivelse till handlingarna"),
     ],
 )
 def test_all_labels_and_rules(spark, f, value, want):

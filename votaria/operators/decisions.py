@@ -32,7 +32,7 @@ def override() -> tuple[Column, Column]:
 def clean_decisions(decisions: DataFrame) -> DataFrame:
     """One row per decision id (first wins); a missing arm is the anonymous one."""
     rows = decisions.withColumns({"votering_id": key_form("votering_id"), "parti": key_form("parti"), "arm": F.coalesce("arm", F.lit("anonymous"))}).where("votering_id is not null and parti is not null")
-    return first_per_key(rows, CID, F.col("inkom_ts")).withColumn("cid", F.concat_ws(":", "parti", "votering_id", "prompt_version", "arm"))
+    return first_per_key(rows, CID, F.col("inkom_ts"), ["collected_at", "batch_id", "rost", "hallning"]).withColumn("cid", F.concat_ws(":", "parti", "votering_id", "prompt_version", "arm"))
 
 
 def decision_facts(decisions: DataFrame, pos: DataFrame, cases: DataFrame) -> DataFrame:

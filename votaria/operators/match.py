@@ -178,6 +178,16 @@ def closest_spans(quotes: Column | str, source: Column | str) -> Column:
     return F.pandas_udf(run, "array<struct<quote:string,span:string,ratio:double>>")(quotes, source)
 
 
+def prefix_lookup(asked: DataFrame, rows: DataFrame, prefix: str, key: str, lengths: list[int]) -> DataFrame:
+    """``prefix, n, key, verdict``: how many keys begin with a prefix (none, one, many), and the key where it is one.
+
+    ``lengths`` are the lengths of the prefixes; keys meet them in an equi-join on their first signs.
+    """
+    heads = rows.select(key, F.explode(F.array(*[F.substring(key, 1, n) for n in lengths])).alias(prefix))
+    counts = asked.select(prefix).distinct().join(heads, prefix, "left").groupBy(prefix).agg(F.count(key).alias("n"), F.min(key).alias("_one"))
+    return counts.select(prefix, "n", F.when(F.col("n") == 1, F.col("_one")).alias(key), F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("many").alias("verdict"))
+
+
 def phrase_match(citations: DataFrame, phrases: DataFrame, document: str, quote: str, name: str) -> DataFrame:
     """Adds ``name``: whether a listed phrase of the same document contains the quote, or the other way round.
 
@@ -195,16 +205,27 @@ def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_set: str
     shared = F.size(F.array_intersect(F.col(left_set), F.col(right_set)))
     joined = left.join(right, on, "left").withColumn("_n", F.when(F.col(right_set).isNull(), -1).otherwise(shared))
     keys = left.columns
-    best = F.max_by(F.struct(*names, F.col("_n").alias("n_shared")), F.struct("_n", -F.col(order)))
+    best = F.min_by(F.struct(*names, F.col("_n").alias("n_shared")), F.struct(-F.col("_n"), F.col(order)))
     return joined.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 
-def top_coverage(wanted: DataFrame, have: DataFrame, on: list[str], want_set: str, have_set: str, order: str, k: int) -> DataFrame:
-    """The ``k`` rows of ``have`` that cover most of the wanted set (a top-k report); earlier ones first on ties; an empty want scores 0."""
-    score = F.coalesce(F.try_divide(F.size(F.array_intersect(F.col(want_set), F.col(have_set))).cast("double"), F.size(F.col(want_set)).cast("double")), F.lit(0.0))
-    joined = wanted.join(have, on).withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy(*wanted.columns).orderBy(F.desc("score"), order))
-    return joined.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_coverage(wanted: DataFrame, have: DataFrame, on: list[str], key: list[str], want_set: str, have_id: str, have_set: str, order: str, k: int) -> DataFrame:
+    """The ``k`` rows of ``have`` that cover most of the wanted set (a top-k report); earlier ones first on ties; an empty want scores 0.
+
+    ``key`` names a row of ``wanted``, ``have_id`` one of ``have``. Both sets are exploded and meet in an equi-join, so only
+    rows with a member in common are made. Rows without any can only fill up the ``k``; the first ``2 k`` under a key are
+    enough for that, as at most ``k`` of them are already there.
+    """
+    sizes = wanted.select(*on, *key, F.size(F.array_distinct(F.coalesce(want_set, F.array().cast("array<string>")))).alias("_want"))
+    left = wanted.select(*on, *key, F.explode(F.array_distinct(want_set)).alias("_m"))
+    right = have.select(*on, have_id, order, F.explode(F.array_distinct(have_set)).alias("_m"))
+    met = left.join(right, [*on, "_m"]).groupBy(*on, *key, have_id, order).agg(F.count("*").alias("_n"))
+    first = have.select(*on, have_id, order).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*on).orderBy(order, have_id))).where(F.col("_r") <= 2 * k).drop("_r")
+    filler = sizes.select(*on, *key).join(first, on).withColumn("_n", F.lit(0).cast("bigint"))
+    scored = met.unionByName(filler).groupBy(*on, *key, have_id, order).agg(F.max("_n").alias("_n")).join(sizes, [*on, *key])
+    scored = scored.withColumn("score", F.coalesce(F.try_divide(F.col("_n").cast("double"), F.col("_want").cast("double")), F.lit(0.0)))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), order, have_id))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("_n", "_want")
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -231,11 +252,6 @@ def greedy_pairs(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(match, schema)
 
 
-def array_edit(citations: Column, edit) -> Column:
-    """Edits the structs of an array in place: ``edit(struct) -> struct``; null arrays stay null."""
-    return F.transform(citations, edit)
-
-
 def with_flag(flags: Column, flag: str, on: Column) -> Column:
     """The flags with ``flag`` set or cleared; order kept, null counts as none."""
     have = F.coalesce(flags, F.array().cast("array<string>"))

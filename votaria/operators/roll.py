@@ -17,12 +17,17 @@ def vote_form(col: str) -> Column:
 
 
 def main_votes(votes: DataFrame) -> DataFrame:
-    """One row per member and division of the main vote on the matter itself, in clean form; repeated rows go."""
+    """Member votes of the main vote on the matter itself, in clean form; repeated rows are still in it."""
     party = F.upper(F.trim("parti"))
     rows = votes.where("avser = 'sakfrågan' and votering = 'huvud'").select(
         key_form("votering_id").alias("votering_id"), party.alias("parti"), "intressent_id", "namn", vote_form("rost").alias("rost"), "rm", "beteckning", "punkt", day_of("datum").alias("datum"), key_form("dok_id").alias("dok_id"),
     )
-    return rows.where(F.col("parti").isin(list(PARTIES)) & F.col("votering_id").isNotNull() & F.col("rost").isNotNull()).distinct()
+    return rows.where(F.col("parti").isin(list(PARTIES)) & F.col("votering_id").isNotNull() & F.col("rost").isNotNull())
+
+
+def member_votes(votes: DataFrame) -> DataFrame:
+    """One row per member, division and vote: five columns are read, and repeated rows go."""
+    return main_votes(votes).select("votering_id", "parti", "intressent_id", "namn", "rost").distinct()
 
 
 def positions(main: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def divisions(main: DataFrame) -> DataFrame:
 def current_cases(cases: DataFrame) -> DataFrame:
     """The latest version of each division, with clean id, day and month."""
     rows = cases.withColumn("votering_id", key_form("votering_id")).where("votering_id is not null")
-    rows = latest_per_key(rows, ["votering_id"], F.col("inkom_ts"))
+    rows = latest_per_key(rows, ["votering_id"], F.col("inkom_ts"), ["borttagen_ts", "datum", "beteckning", "punkt"])
     return rows.withColumn("datum", day_of("datum")).withColumn("month", F.date_format("datum", "yyyy-MM")).withColumn("dok_id", key_form("dok_id"))
 
 

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from votaria.session import cut
+
 
-def latest_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """The row with the greatest ``order`` for each key, by a combinable aggregate (no sort of a whole key).
+def latest_per_key(df: DataFrame, key: list[str], order: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """The row with the greatest ``order`` for each key, null orders last.
 
-    Rows of equal order are told apart by their content, so the result is the same in every run. Rows whose ``order``
-    is null lose against all others.
+    Rows of equal order are told apart by the columns ``ties``, greatest first; rows equal in these too should be copies.
+    Each task keeps one row of a key before the shuffle, and columns that are not asked for later are not read.
     """
-    rest = [c for c in df.columns if c not in key]
-    plain = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(order.isNotNull(), F.lit(False)), order, F.xxhash64(*plain)))
-    return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*")
+    return capped(df, key, [order.desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in ties]], 1)
 
 
-def first_per_key(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """First wins: the row with the least ``order`` for each key; nulls come last."""
-    rest = [c for c in df.columns if c not in key]
-    plain = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
-    best = F.min_by(F.struct(*rest), F.struct(order.isNull(), order, F.xxhash64(*plain)))
-    return df.groupBy(*key).agg(best.alias("_row")).select(*key, "_row.*")
+def first_per_key(df: DataFrame, key: list[str], order: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """First wins: the row with the least ``order`` for each key; nulls come last, ``ties`` as in ``latest_per_key``."""
+    return capped(df, key, [order.asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]], 1)
 
 
 def capped(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -52,15 +50,14 @@ def forward_fill(df: DataFrame, by: list[str], order: str, columns: list[str]) -
 
 
 def chunks(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
-    """Numbers rows into chunks of ``size`` in order, from 0."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / F.lit(size)).cast("int"))
+    """Numbers rows into chunks of ``size`` in order, from 0; a null group is a group."""
+    return ordered(df, by, order).withColumn("chunk", F.floor(F.col("_row") / F.lit(size)).cast("int")).drop("_row", "_size")
 
 
 def every_kth(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Systematic sample: about ``k`` rows of each group, evenly spaced in order."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_all", F.count("*").over(Window.partitionBy(*by)))
-    step = F.greatest(F.lit(1), F.floor(F.col("_all") / F.lit(k)))
-    return ranked.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < k)).drop("_i", "_all")
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / F.lit(k)))
+    return ordered(df, by, order).where((F.col("_row") % step == 0) & (F.floor(F.col("_row") / step) < k)).drop("_row", "_size")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int) -> DataFrame:
@@ -89,23 +86,46 @@ def dense(counts: DataFrame, spine: DataFrame, on: list[str], values: list[str])
     return F.broadcast(spine).join(counts, on, "left").fillna(0, values)
 
 
-def balanced_groups(df: DataFrame, by: list[str], order: str, cost: str, limit: float, most: int = 150) -> DataFrame:
-    """Packs the rows of each bucket, in order, into the fewest groups that fit ``limit`` in cost and ``most`` in rows.
+def ordered(df: DataFrame, by: list[str], order: list[Column], row: str = "_row", size: str = "_size", running: dict[str, str] | None = None, parts: int = 32) -> DataFrame:
+    """Numbers the rows of each group in order from 0 (``row``) and adds the size of the group, without one task for a group.
 
-    Groups are balanced to total/groups; the running cost starts anew with each group, which no window can express,
-    so each bucket (a few hundred rows of keys and costs) is packed in pandas. Adds ``group_no`` from 0.
+    Rows are laid out in ranges of group and order. Each range is numbered by itself, and the counts of the ranges before
+    it (one row for each range of a group) are added. ``running`` maps names to columns whose sums up to the row are
+    wanted as well. Ties in ``order`` should be broken by a key, else their numbers may differ between runs.
     """
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        costs = frame[cost].fillna(0.0).tolist()
-        wanted = max(1, -(-int(sum(costs)) // int(limit)), -(-len(costs) // most))
-        share, numbers, number, spent, held = sum(costs) / wanted, [], 0, 0.0, 0
-        for c in costs:
-            if held and ((spent + c > share and number < wanted - 1) or held >= most):
-                number, spent, held = number + 1, 0.0, 0
-            numbers.append(number)
-            spent, held = spent + c, held + 1
-        return frame.assign(group_no=numbers)
-
-    return df.groupBy(*by).applyInPandas(pack, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, group_no int")
+    sums = running or {}
+    laid = df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
+    laid = cut(laid)
+    within = Window.partitionBy(*by, "_range").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = laid.withColumns({row: F.row_number().over(within) - 1} | {name: F.sum(c).over(upto) for name, c in sums.items()})
+    totals = laid.groupBy(*by, "_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    shift = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(size), *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums], *[F.sum(f"_sum_{name}").over(whole).alias(f"{name}_total") for name in sums])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_at"))
+    joined = local.join(F.broadcast(shift), same)  # at most one row for each range and group that begins in it
+    return joined.withColumns({row: F.col(row) + F.col("_before")} | {name: F.col(name) + F.col(f"_before_{name}") for name in sums}).drop("_range", "_at", "_before", *[f"_before_{name}" for name in sums], *[f"_by_{c}" for c in by])
+
+
+def balanced_groups(df: DataFrame, by: list[str], order: list[Column], cost: str, limit: float, most: int = 150) -> DataFrame:
+    """Deals the rows of each bucket, in order, into groups of equal cost: the fewest that ``limit`` allows, none over ``most`` rows.
+
+    A bucket of total cost T and n rows gets ``k = max(ceil(T / limit), ceil(n / most))`` groups. A row goes to the group
+    in which the middle of its cost falls when T is divided into k equal parts, by a running sum; where rows are so
+    cheap that a part would hold more than ``most`` of them, it is divided again by row number. So group numbers depend
+    on sums alone, and no bucket is packed in one task. Null costs count as zero. Adds ``group_no`` from 0.
+    """
+    priced = df.withColumn("_cost", F.coalesce(F.col(cost), F.lit(0.0)).cast("double"))
+    numbered = ordered(priced, by, order, running={"_spent": "_cost"})
+    groups = F.greatest(F.lit(1), F.ceil(F.col("_spent_total") / F.lit(limit)), F.ceil(F.col("_size") / F.lit(most)))
+    middle = F.col("_spent") - F.col("_cost") / 2
+    part = F.least(groups - 1, F.floor(F.coalesce(F.try_divide(middle * groups, F.col("_spent_total")), F.lit(0.0)))).cast("int")
+    placed = numbered.withColumn("_part", part)
+    starts = placed.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    slots = starts.withColumn("_slots", F.ceil(F.col("_rows") / F.lit(most))).withColumn("_base", F.coalesce(F.sum("_slots").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    keys = [*by, "_part"]
+    named = slots.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_first", "_base")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    out = placed.join(named, same).withColumn("group_no", (F.col("_base") + F.floor((F.col("_row") - F.col("_first")) / F.lit(most))).cast("int"))
+    return out.select(*df.columns, "group_no")

@@ -10,9 +10,10 @@ from votaria.expr import day_number, day_of, key_form, period_start
 from votaria.functions import text as tx
 from votaria.operators import match
 from votaria.operators import quality as ql
-from votaria.operators.shape import balanced_groups, capped_twice, forward_fill
+from votaria.operators.shape import capped, forward_fill
 from votaria.plans import parliament as pl
 from votaria.plans.parliament import Frames, _with
+from votaria.session import cut
 from votaria.tables import table
 
 QUERIES: dict = {}
@@ -109,10 +110,11 @@ def filled_series(f: Frames) -> DataFrame:
 @query(_with("x as (select votering_id, parti, source, doc_id, row_number() over (partition by votering_id, source order by n_chars desc, doc_id) as a from (select upper(trim(c.votering_id)) as votering_id, doc_id, n_chars, lower(trim(source)) as source, parti from c join documents on upper(trim(documents.dok_id)) = c.dok_id where source is not null)), y as (select *, row_number() over (partition by votering_id order by a, source, doc_id) as b from x where a <= 2)", "select votering_id, source, doc_id from y where b <= 5"))
 def capped_context(f: Frames) -> DataFrame:
     """Documents of each division's report: two of each source at most, five in all (a capped context)."""
-    docs = table(f.spark, f.root, "documents").where("source is not null").select(key_form("dok_id").alias("dok_id"), "doc_id", "n_chars", F.lower(F.trim("source")).alias("source"))
-    rows = f.cases.select("votering_id", "dok_id").join(docs, "dok_id")
-    rows = rows.withColumn("a", F.row_number().over(Window.partitionBy("votering_id", "source").orderBy(F.desc("n_chars"), "doc_id")))
-    return capped_twice(rows, ["votering_id"], "source", [F.col("a"), F.col("source"), F.col("doc_id")], 2, 5).select("votering_id", "source", "doc_id")
+    docs = table(f.spark, f.root, "documents").where("source is not null").select(key_form("dok_id").alias("dok_id"), "doc_id", "n_chars", F.lower(F.trim("source")).alias("source")).where("dok_id is not null")
+    # the caps depend on the report alone: they come before the join, so a large report is five rows in it
+    two = docs.withColumn("a", F.row_number().over(Window.partitionBy("dok_id", "source").orderBy(F.desc("n_chars"), "doc_id"))).where("a <= 2")
+    five = capped(two, ["dok_id"], [F.col("a"), F.col("source"), F.col("doc_id")], 5)
+    return f.cases.select("votering_id", "dok_id").join(five, "dok_id").select("votering_id", "source", "doc_id")
 
 
 # ---- citations ----
@@ -128,7 +130,12 @@ def _blocks(f: Frames) -> DataFrame:
     return table(f.spark, f.root, "docblocks").where("kind = 'para' and slug is not null").select("slug", "text")
 
 
-_KEY = "lower(trim(regexp_replace({0}, '[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{85}}]+', ' ', 'g')))"
+# blanks of any kind, as the engine's Unicode class has them
+_WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{0b}\x{1c}-\x{1f}]+"
+# composed, collapsed and case-folded (the folds that differ from lower case and occur here)
+_KEY = "replace(replace(replace(lower(trim(regexp_replace(nfc_normalize({0}), '" + _WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))), 'ς', 'σ'), 'ß', 'ss'), 'µ', 'μ')"
+for _a, _b in tx.LIGATURES.items():
+    _KEY = f"replace({_KEY}, '{_a}', '{_b}')"
 
 
 @query(_with(f"{_CIT}, h as (select distinct ct.slug, ct.quote from ct join docblocks b on b.slug = ct.slug and b.kind = 'para' where trim(ct.quote) <> '' and contains({_KEY.format('b.text')}, {_KEY.format('ct.quote')}))", "select ct.run_id, ct.cid, ct.cite_id, h.slug is not null as verbatim from ct left join h using (slug, quote)"))
@@ -141,22 +148,28 @@ def verbatim_citations(f: Frames) -> DataFrame:
 QUOTES_AT_ONCE = 8
 
 
-@query()
-def repaired_citations(f: Frames) -> DataFrame:
-    """Quotes that are not verbatim, with the closest span of their document and the verdict (ratio 0.75)."""
-    checked = match.verbatim(_citations(f).where("trim(quote) <> ''"), _blocks(f), ["slug"], "quote", "text")
-    missed = checked.where("not verbatim").select("slug", "quote").distinct()
+def quote_verdicts(f: Frames) -> DataFrame:
+    """``slug, quote, verbatim, span, ratio`` of each distinct quote; the nearest span of its document where it is not verbatim."""
+    quotes = _citations(f).where("trim(quote) <> ''").select("slug", "quote").distinct()
+    checked = cut(match.verbatim(quotes, _blocks(f), ["slug"], "quote", "text"))
+    missed = checked.where("not verbatim and slug is not null").select("slug", "quote")
     # whole documents are searched: a document's paragraphs in order, beside some of its quotes at a time
     paras = table(f.spark, f.root, "docblocks").where("kind = 'para' and slug is not null and text is not null").select("slug", F.struct("page", "seq", "block_id", "text").alias("p"))
     whole = paras.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("p"))["text"], " ").alias("text"))
-    group = F.floor((F.row_number().over(Window.partitionBy("slug").orderBy("quote")) - 1) / QUOTES_AT_ONCE)
+    group = F.pmod(F.xxhash64("quote"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("slug")) / QUOTES_AT_ONCE)))
     groups = missed.withColumn("group", group).groupBy("slug", "group").agg(F.collect_list("quote").alias("quotes")).join(whole, "slug")
     # few bytes, much work: keep one task per core, which adaptive execution would merge
     groups = groups.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "group")
     found = groups.select("slug", F.explode(match.closest_spans("quotes", "text")).alias("found"))
     spans = found.select("slug", "found.quote", "found.span", F.round("found.ratio", 4).alias("ratio"))
-    joined = checked.where("not verbatim").join(spans, ["slug", "quote"], "left")
-    return joined.select("run_id", "cid", "cite_id", F.when(F.col("ratio") >= 0.75, F.col("span")).alias("span"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("ratio") >= 0.75, "corrected").otherwise("unverifiable").alias("verdict"))
+    return checked.join(spans, ["slug", "quote"], "left")
+
+
+@query()
+def repaired_citations(f: Frames) -> DataFrame:
+    """Quotes that are not verbatim, with the closest span of their document and the verdict (ratio 0.75)."""
+    rows = _citations(f).where("trim(quote) <> ''").join(quote_verdicts(f).where("not verbatim").withColumnsRenamed({"slug": "_slug", "quote": "_quote"}), F.col("slug").eqNullSafe(F.col("_slug")) & (F.col("quote") == F.col("_quote")))
+    return rows.select("run_id", "cid", "cite_id", F.when(F.col("ratio") >= 0.75, F.col("span")).alias("span"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("ratio") >= 0.75, "corrected").otherwise("unverifiable").alias("verdict"))
 
 
 # Invented broad phrases, per kind of document.
@@ -203,15 +216,6 @@ def run_progress(f: Frames) -> DataFrame:
     return f.decisions.groupBy("run_id").agg(F.count("*").alias("total"), F.count_distinct("votering_id").alias("n_divisions"), F.min("collected_at").alias("first_at"), F.max("collected_at").alias("last_at"))
 
 
-@query()
-def balanced_work(f: Frames) -> DataFrame:
-    """Pending divisions of each party packed into balanced groups by token cost."""
-    cost = F.ceil(F.length(F.coalesce("forslag_text", F.lit(""))) / 3.6) + 700
-    rows = QUERIES["pending_work"](f.spark, f.root).join(f.cases.select("votering_id", "datum", cost.cast("double").alias("cost")), "votering_id")
-    rows = rows.withColumn("position", F.concat_ws("/", F.col("datum").cast("string"), "votering_id")).select("parti", "votering_id", "position", "cost")
-    return balanced_groups(rows, ["parti"], "position", "cost", 20_000.0)
-
-
 @query("select reason, count(*) as n from (select case when trim(votering_id) = '' or votering_id is null then 'no id' when upper(trim(parti)) not in (select parti from party) or parti is null then 'unknown party' when upper(trim(votering_id)) not in (select votering_id from c) then 'unknown division' when rost not in ('Ja', 'Nej', 'Avstår') or rost is null then 'bad vote' when row_number() over (partition by run_id, upper(trim(parti)), upper(trim(votering_id)), prompt_version, coalesce(arm, 'anonymous') order by inkom_ts) > 1 then 'repeated' else 'ok' end as reason from decisions) group by reason")
 def ingest_verdicts(f: Frames) -> DataFrame:
     """What an ingest of the decisions accepts, and why it rejects the rest."""
@@ -232,32 +236,41 @@ def metering(f: Frames) -> DataFrame:
 
 # ---- texts ----
 
-_REF = r"\b\d{4}/\d{2}:(?:[A-Za-zÅÄÖ]{1,5})?\d+[a-z]?\b"
-_P = "|".join(domain.PARTIES)
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
 
+_SCRUBBED = "forslag_text"
+for _pattern, _by in ((tx.AUTHOR_CLAUSE, ""), (tx.AUTHOR_CODE, "\\1"), (tx.DOCUMENT_REF, "\\1[nr]"), (tx.DATE, "\\1[datum]")):
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_q(_pattern)}', '{_by}', 'g')"
 
-@query(f"select votering_id, regexp_replace(regexp_replace(forslag_text, '\\s+av\\s+(?:{_P})\\b', '', 'g'), '{_REF}', '[nr]', 'g') as text from c where regexp_full_match(forslag_text, '[ -~åäöÅÄÖé]*')")
+
+@query(f"select votering_id, {_SCRUBBED} as text from c where forslag_text is not null")
 def scrubbed(f: Frames) -> DataFrame:
-    """Proposals without author clauses, document numbers and dates, whatever characters they hold; the SQL covers plain ones only."""
-    return f.cases.where("forslag_text is not null").select("votering_id", tx.scrub(F.col("forslag_text")).alias("text"))
+    """Proposals without author clauses, document numbers and dates."""
+    return f.cases.select("votering_id", "forslag_text").where("forslag_text is not null").select("votering_id", tx.scrub(F.col("forslag_text")).alias("text"))
 
 
-@query("select kind, count(*) as n from (select case when regexp_matches(forslag_text, '(?i)\\banslag|budget') then 'budget' when regexp_matches(forslag_text, '(?i)proposition') then 'bill' when regexp_matches(forslag_text, '(?i)motion') then 'motion' else 'other' end as kind from c) group by kind")
+@query(f"select kind, count(*) as n from (select case when regexp_matches(forslag_text, '{tx.BUDGET}') or trim(beteckning) = '{tx.BUDGET_REPORT}' then 'budget' when regexp_matches(forslag_text, '{tx.BILL}') then 'proposition' when regexp_matches(forslag_text, '{tx.MOTION}') then 'motion' else 'other' end as kind from c) group by kind")
 def proposal_kinds(f: Frames) -> DataFrame:
     """Proposals by class."""
-    return f.cases.select(tx.proposal_kind(F.col("forslag_text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return f.cases.select(tx.proposal_kind(F.col("forslag_text"), F.col("beteckning")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select votering_id, list_distinct(regexp_extract_all(forslag_text, '\\d{4}/\\d{2}:\\d+')) as ids from c where len(regexp_extract_all(forslag_text, '\\d{4}/\\d{2}:\\d+')) = 1")
+@query(f"select votering_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) as ids from (select votering_id, regexp_extract_all(forslag_text, '{tx.MOTION_REF}') as ids from c where forslag_text is not null) where len(ids) > 0")
 def motion_numbers(f: Frames) -> DataFrame:
-    """Motion numbers of proposals that name exactly one."""
-    return f.cases.where("size(regexp_extract_all(forslag_text, '\\\\d{4}/\\\\d{2}:\\\\d+', 0)) = 1").select("votering_id", tx.motion_ids(F.col("forslag_text")).alias("ids"))
+    """Motion numbers of each proposal that names any, in order of appearance."""
+    rows = f.cases.select("votering_id", "forslag_text").select("votering_id", tx.motion_ids(F.col("forslag_text")).alias("ids"))
+    return rows.where("size(ids) > 0")
+
 
+_LEAK = "case " + " ".join(f"when {' or '.join(f'regexp_matches(forslag_text, {chr(39)}{_q(p)}{chr(39)})' for p in patterns)} then '{name}'" for name, patterns in tx.LEAKS.items()) + " end"
 
-@query("select leak, count(*) as n from (select case when regexp_matches(forslag_text, '\\((?:" + _P + ")\\)') then 'tag' when regexp_matches(forslag_text, '(?:^|\\W)(?:" + "|".join(domain.PARTY_NAMES).replace("'", "''") + ")(?:\\W|$)') then 'name' when regexp_matches(forslag_text, '\\s+av\\s+(?:[^()\\n]{2,200}?\\((?:" + _P + ")(?:,\\s*(?:" + _P + "))*\\)|(?:" + _P + ")(?:\\W|$))') then 'author' when regexp_matches(forslag_text, '\\d{4}/\\d{2}:\\d+') then 'reference' end as leak from c where regexp_full_match(forslag_text, '[ -~åäöÅÄÖé]*')) group by leak")
+
+@query(f"select leak, count(*) as n from (select {_LEAK} as leak from c where forslag_text is not null) group by leak")
 def leak_labels(f: Frames) -> DataFrame:
-    """What gives proposals away, whatever characters they hold; the SQL covers plain ones only."""
-    return f.cases.where("forslag_text is not null").select(tx.leak_label(F.col("forslag_text")).alias("leak")).groupBy("leak").agg(F.count("*").alias("n"))
+    """What gives proposals away."""
+    return f.cases.select("forslag_text").where("forslag_text is not null").select(tx.leak_label(F.col("forslag_text")).alias("leak")).groupBy("leak").agg(F.count("*").alias("n"))
 
 
 @query("select votering_id, case when length(rubrik) <= 20 then rubrik else regexp_replace(left(rubrik, 19), ' [^ ]*$', '') || '…' end as short from c where rubrik is not null")
@@ -273,12 +286,6 @@ def blocks_by_party(f: Frames) -> DataFrame:
     return rows.groupBy("kind", tx.party_of_slug(F.col("slug")).alias("parti")).agg(F.count("*").alias("n_blocks"))
 
 
-@query()
-def meanings(f: Frames) -> DataFrame:
-    """What each proposal does, in a phrase or two, with a link to its words and a month label."""
-    return f.cases.select("votering_id", tx.meanings(F.col("forslag_text")).alias("meaning"), tx.fragment_link(F.col("forslag_text")).alias("link"), tx.month_label(F.col("datum")).alias("month_label"))
-
-
 # ---- browsing ----
 
 _INDEX = "ix as (select c.votering_id, c.datum, c.month, c.utskott, c.rubrik, lower(concat_ws(' ', c.rubrik, c.rm, c.beteckning, c.utskott)) as search, list(f.parti order by f.parti) filter (f.implied is not null and f.position in ('Ja', 'Nej') and f.implied <> f.position) as miss, count(f.cid) as compared, count(f.cid) filter (f.agree) as agree from c left join f on f.votering_id = c.votering_id and f.arm = 'anonymous' and f.run_id = 'run-p6-1' group by all)"

@@ -18,7 +18,8 @@ class Frames:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.main = roll.main_votes(table(spark, root, "votes"))
+        self.votes = roll.main_votes(table(spark, root, "votes"))
+        self.main = roll.member_votes(table(spark, root, "votes"))
         self.pos = roll.positions(self.main)
         self.cases = roll.current_cases(table(spark, root, "cases"))
         self.parties = domain.parties(spark)
@@ -49,12 +50,13 @@ _GOV = ", ".join(f"'{p}'" for p in domain.GOVERNMENT)
 BASE = f"""
 party(parti, bloc, seat_order) as (values {_PARTIES}),
 area(utskott_key, policy_area) as (values {_AREAS}),
-v as (select distinct * from (
+vw as (select distinct * from (
   select upper(trim(votering_id)) as votering_id, upper(trim(parti)) as parti, intressent_id, namn,
     case lower(trim(rost)) when 'ja' then 'Ja' when 'nej' then 'Nej' when 'avstår' then 'Avstår' when 'frånvarande' then 'Frånvarande' end as rost,
     rm, beteckning, punkt, left(datum, 10)::date as datum, nullif(upper(trim(dok_id)), '') as dok_id
   from votes where avser = 'sakfrågan' and votering = 'huvud')
   where votering_id <> '' and rost is not null and parti in (select parti from party)),
+v as (select distinct votering_id, parti, intressent_id, namn, rost from vw),
 pn as (select votering_id, parti, count(*) filter (rost = 'Ja') as n_ja, count(*) filter (rost = 'Nej') as n_nej, count(*) filter (rost = 'Avstår') as n_avstar, count(*) filter (rost = 'Frånvarande') as n_franvarande from v group by all),
 p as (select *, case when n_ja + n_nej + n_avstar = 0 then 'Frånvarande' when n_ja >= n_nej and n_ja >= n_avstar then 'Ja' when n_nej >= n_avstar then 'Nej' else 'Avstår' end as position,
     case when n_ja + n_nej + n_avstar = 0 then 1.0 else greatest(n_ja, n_nej, n_avstar)::double / (n_ja + n_nej + n_avstar) end as cohesion, n_ja + n_nej + n_avstar + n_franvarande as seats from pn),
@@ -97,16 +99,16 @@ def party_positions(f: Frames) -> DataFrame:
     return f.pos
 
 
-@query("select votering_id, min(dok_id) as dok_id, min(rm) as rm, min(beteckning) as beteckning, min(punkt) as punkt, max(datum) as datum, count(*) as n_members from v group by votering_id")
+@query("select votering_id, min(dok_id) as dok_id, min(rm) as rm, min(beteckning) as beteckning, min(punkt) as punkt, max(datum) as datum, count(*) as n_members from vw group by votering_id")
 def divisions(f: Frames) -> DataFrame:
     """Roll-up of member votes to divisions."""
-    return roll.divisions(f.main)
+    return roll.divisions(f.votes.distinct())
 
 
-@query("select votering_id, count(*) as n_members, case when any_value(k) is null then 'no case' when any_value(t) is null then 'no text' end as reason from v left join (select votering_id, 1 as k, case when trim(forslag_text) <> '' then 1 end as t from c) using (votering_id) group by votering_id having reason is not null")
+@query("select votering_id, count(*) as n_members, case when any_value(k) is null then 'no case' when any_value(t) is null then 'no text' end as reason from vw left join (select votering_id, 1 as k, case when trim(forslag_text) <> '' then 1 end as t from c) using (votering_id) group by votering_id having reason is not null")
 def orphan_divisions(f: Frames) -> DataFrame:
     """Divisions that cannot become cases, with the reason."""
-    return roll.split_orphans(roll.divisions(f.main), f.cases).where("reason is not null").select("votering_id", "n_members", "reason")
+    return roll.split_orphans(roll.divisions(f.votes.distinct()), f.cases).where("reason is not null").select("votering_id", "n_members", "reason")
 
 
 @query("select votering_id, rm, beteckning, punkt, dok_id, datum, month, utskott, vinnare from c")
@@ -424,4 +426,4 @@ def current_reports(f: Frames) -> DataFrame:
     from votaria.expr import key_form
 
     rows = table(f.spark, f.root, "dokstatus").select(key_form("dok_id").alias("dok_id"), "rm", "titel", "organ", "inkom_ts").where("dok_id is not null")
-    return latest_per_key(rows, ["dok_id"], F.col("inkom_ts"))
+    return latest_per_key(rows, ["dok_id"], F.col("inkom_ts"), ["titel", "organ", "rm"])
