@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def month_end(c: Column) -> Column:
-    """The last day of the month."""
-    return F.last_day(c)
-
-
 def published(start: Column, rule: str) -> Column:
     """The day on which a figure for the period that begins at ``start`` is out.
 

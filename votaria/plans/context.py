@@ -288,15 +288,19 @@ def blocks_by_party(f: Frames) -> DataFrame:
 
 # ---- browsing ----
 
-_INDEX = "ix as (select c.votering_id, c.datum, c.month, c.utskott, c.rubrik, lower(concat_ws(' ', c.rubrik, c.rm, c.beteckning, c.utskott)) as search, list(f.parti order by f.parti) filter (f.implied is not null and f.position in ('Ja', 'Nej') and f.implied <> f.position) as miss, count(f.cid) as compared, count(f.cid) filter (f.agree) as agree from c left join f on f.votering_id = c.votering_id and f.arm = 'anonymous' and f.run_id = 'run-p6-1' group by all)"
+_GAPS = "f.implied is not null and f.position in ('Ja', 'Nej') and f.implied <> f.position"
+_INDEX = f"ix as (select c.votering_id, c.datum, c.month, c.utskott, c.rubrik, lower(concat_ws(' ', c.rubrik, c.rm, c.beteckning, c.utskott)) as search, list(f.parti order by seat_order, f.cid) filter ({_GAPS}) as miss, list(f.parti order by seat_order, f.cid) filter ({_GAPS} and f.tier = 'explicit') as missx, count(f.cid) as compared, count(f.cid) filter (f.agree) as agree from c left join (select f.*, party.seat_order from f join party using (parti)) f on f.votering_id = c.votering_id and f.arm = 'anonymous' and f.run_id = 'run-p6-1' group by all)"
 
 
 def _index(f: Frames) -> DataFrame:
-    facts = f.facts.where("arm = 'anonymous' and run_id = 'run-p6-1'")
-    miss = F.col("implied").isNotNull() & F.col("position").isin(domain.DECIDED) & (F.col("implied") != F.col("position"))
-    per = facts.groupBy("votering_id").agg(F.array_sort(F.collect_list(F.when(miss, F.col("parti")))).alias("miss"), F.count("*").alias("compared"), F.count_if("agree").alias("agree"))
+    facts = f.facts.where("arm = 'anonymous' and run_id = 'run-p6-1'").join(F.broadcast(f.parties.select("parti", "seat_order")), "parti")
+    gap = F.col("implied").isNotNull() & F.col("position").isin(domain.DECIDED) & (F.col("implied") != F.col("position"))
+    # parties in the order of their seats
+    seated = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("seat_order", "cid", "parti")))), lambda x: x["parti"])
+    per = facts.groupBy("votering_id").agg(seated(gap).alias("miss"), seated(gap & (F.col("tier") == "explicit")).alias("missx"), F.count("*").alias("compared"), F.count_if("agree").alias("agree"))
     rows = f.cases.select("votering_id", "datum", "month", "utskott", "rubrik", tx.search_blob(F.col("rubrik"), F.col("rm"), F.col("beteckning"), F.col("utskott")).alias("search")).join(per, "votering_id", "left")
-    return rows.withColumns({"miss": F.when(F.size("miss") > 0, F.col("miss")), "compared": F.coalesce("compared", F.lit(0)), "agree": F.coalesce("agree", F.lit(0))})
+    full = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return rows.withColumns({"miss": full("miss"), "missx": full("missx"), "compared": F.coalesce("compared", F.lit(0)), "agree": F.coalesce("agree", F.lit(0))})
 
 
 @query(_with(_INDEX, "select * from ix"))
@@ -323,18 +327,20 @@ def second_page(f: Frames) -> DataFrame:
 @query(_with("k as (select 'vote values' as name, count(*) as n_bad from votes where rost is null or lower(trim(rost)) not in ('ja', 'nej', 'avstår', 'frånvarande') union all select 'id length', count(*) from votes where votering_id is null or length(trim(votering_id)) <> 36 union all select 'members per division', count(*) from (select votering_id from v group by votering_id having count(distinct intressent_id) > 349) union all select 'seats', count(*) from (select votering_id from p group by votering_id having sum(seats) > 349) union all select 'position values', count(*) from p where position not in ('Ja', 'Nej', 'Avstår', 'Frånvarande') union all select 'cases without text', count(*) from c where forslag_text is null or trim(forslag_text) = '' union all select 'month length', count(*) from c where month is null or length(month) <> 7 union all select 'positions without case', count(*) from (select distinct votering_id from p) where votering_id not in (select votering_id from c) union all select 'repeated decisions', (select count(*) from decisions where trim(votering_id) <> '' and trim(parti) <> '') - (select count(*) from d) union all select 'vintage before period', count(*) from indicators where length(period) = 10 and vintage_date is not null and regexp_replace(vintage_date, '[^0-9]', '', 'g')[:8] < regexp_replace(period, '[^0-9]', '', 'g')[:8])", "select name, n_bad, n_bad = 0 as ok from k"))
 def checks(f: Frames) -> DataFrame:
     """Data-quality constraints: name, number of violations, verdict."""
-    votes, indicators = table(f.spark, f.root, "votes"), table(f.spark, f.root, "indicators")
-    decisions = table(f.spark, f.root, "decisions").where("trim(votering_id) <> '' and trim(parti) <> ''")
     from votaria.operators.roll import vote_form
 
-    per = f.main.groupBy("votering_id").agg(F.count_distinct("intressent_id").alias("n"))
+    votes, indicators = table(f.spark, f.root, "votes"), table(f.spark, f.root, "indicators")
+    decisions = table(f.spark, f.root, "decisions").where("trim(votering_id) <> '' and trim(parti) <> ''").select("run_id", "prompt_version", key_form("votering_id").alias("k"), key_form("parti").alias("pt"), F.coalesce("arm", F.lit("anonymous")).alias("arm"))
+    # one pass over each table
+    members = f.main.groupBy("votering_id").agg(F.count_distinct("intressent_id").alias("n"))
+    per = f.pos.groupBy("votering_id").agg(F.sum("seats").alias("s"), F.count_if(~F.col("position").isin(domain.VOTES)).alias("odd")).join(f.cases.select("votering_id", F.lit(True).alias("_known")), "votering_id", "left")
+    divided = per.agg(F.count_if(F.col("s") > 349).alias("a"), F.coalesce(F.sum("odd"), F.lit(0)).alias("b"), F.count_if(F.col("_known").isNull()).alias("c"))
+    divided = divided.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("n_bad")) for name, c in (("seats", "a"), ("position values", "b"), ("positions without case", "c"))])))
     return ql.report([
-        ql.rows("vote values", votes, vote_form("rost").isNull()), ql.rows("id length", votes, F.coalesce(F.length(F.trim("votering_id")) != 36, F.lit(True))),
-        ql.rows("members per division", per, F.col("n") > 349), ql.rows("seats", f.pos.groupBy("votering_id").agg(F.sum("seats").alias("s")), F.col("s") > 349),
-        ql.rows("position values", f.pos, ~F.col("position").isin(domain.VOTES)), ql.rows("cases without text", f.cases, F.coalesce(F.trim("forslag_text"), F.lit("")) == ""),
-        ql.rows("month length", f.cases, F.coalesce(F.length("month") != 7, F.lit(True))), ql.missing("positions without case", f.pos.select("votering_id").distinct(), f.cases, ["votering_id"]),
-        ql.repeated("repeated decisions", decisions.withColumns({"k": key_form("votering_id"), "pt": key_form("parti"), "arm": F.coalesce("arm", F.lit("anonymous"))}), ["run_id", "pt", "k", "prompt_version", "arm"]),
-        ql.rows("vintage before period", indicators.where("length(period) = 10"), F.coalesce(day_of("vintage_date") < period_start("period"), F.lit(False))),
+        ql.counts(votes, {"vote values": vote_form("rost").isNull(), "id length": F.coalesce(F.length(F.trim("votering_id")) != 36, F.lit(True))}), ql.counts(members, {"members per division": F.col("n") > 349}), divided,
+        ql.counts(f.cases, {"cases without text": F.coalesce(F.trim("forslag_text"), F.lit("")) == "", "month length": F.coalesce(F.length("month") != 7, F.lit(True))}),
+        ql.repeated("repeated decisions", decisions, ["run_id", "pt", "k", "prompt_version", "arm"]),
+        ql.counts(indicators.where("length(period) = 10"), {"vintage before period": F.coalesce(day_of("vintage_date") < period_start("period"), F.lit(False))}),
     ])
 
 

@@ -7,19 +7,21 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set if all work runs in this process (tests); on a cluster
+    that is an error, as the executors could not read it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="votaria-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -30,11 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast ``df`` when its counted ``rows`` stay within ``limit``; else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, wherever they run, once for each Spark context.
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from votaria.operators.shape import latest_per_key
+from votaria.expr import day_of
+from votaria.functions.text import plain
+from votaria.operators.shape import capped, latest_per_key
 from votaria.session import ship_package
 
 # Fields of a member vote in the source, all strings.
@@ -73,7 +75,9 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty frame of ``schema`` where there is none."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -102,6 +106,52 @@ def json_stat(spark: SparkSession, path: str, dimension: str) -> DataFrame:
     return one.select(F.regexp_replace("period", "M", "-").alias("period"), hit["v"].alias("value")).where("value is not null")
 
 
+def pxweb(spark: SparkSession, path: str) -> DataFrame:
+    """``keys, value`` of table files with rows of ``key`` and ``values``; values that are no numbers are passed over."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"))
+    each = rows.select(F.explode(F.from_json(F.get_json_object("t", "$.data"), "array<struct<key:array<string>,values:array<string>>>")).alias("r"))
+    figures = each.select(F.col("r.key").alias("keys"), F.expr("try_cast(trim(r.values[0]) as double)").alias("value"))
+    return figures.where("value is not null and not isnan(value)")
+
+
+def notices(spark: SparkSession, path: str) -> DataFrame:
+    """``day, text, source`` of feeds of notices: a list, or a list under ``items``; the title stands in for a missing text.
+
+    Notices without a day or any text are left out; repeated ones count once.
+    """
+    schema = "array<struct<published:string,title:string,preamble:string,url:string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("t"))
+    items = F.coalesce(F.from_json(F.when(F.col("t").startswith("["), F.col("t")).otherwise(F.get_json_object("t", "$.items")), schema), F.array().cast(schema))
+    each = rows.select(F.explode(items).alias("n"))
+    text = F.coalesce(F.nullif(F.trim("n.preamble"), F.lit("")), F.nullif(F.trim("n.title"), F.lit("")))
+    return each.select(day_of(F.col("n.published")).alias("day"), text.alias("text"), F.col("n.url").alias("source")).where("day is not null and text is not null").distinct()
+
+
+def daily_pages(spark: SparkSession, path: str, least: int = 40, most: int = 400, per_day: int = 6) -> DataFrame:
+    """``day, place, text`` of event pages in markup: day anchors (``id="2024_March_5"``), then list items.
+
+    Items under ``least`` characters, or that run over more than two line ends, are left out; texts are cut to ``most``
+    characters, and a day shows its first ``per_day`` items (the numbers are the contract).
+    """
+    pages = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    parts = pages.select(F.explode(F.slice(F.split("t", r'(?=id="\d{4}_[A-Z][a-z]+_\d{1,2}")'), 2, 1_000_000)).alias("part"))
+    anchor = F.regexp_extract("part", r'^id="(\d{4}_[A-Z][a-z]+_\d{1,2})"', 1)
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"], 1) for x in (m, i)])
+    pieces = F.split(anchor, "_")
+    day = F.make_date(F.get(pieces, F.lit(0)).cast("int"), F.element_at(months, F.get(pieces, F.lit(1))), F.get(pieces, F.lit(2)).cast("int"))
+    items = parts.select(day.alias("day"), F.posexplode(F.regexp_extract_all("part", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1))).alias("place", "raw"))
+    kept = items.where(F.regexp_count(F.trim("raw"), F.lit("\n")) <= 2).select("day", "place", plain(F.col("raw")).alias("text")).where(F.length("text") >= least)
+    return capped(kept, ["day"], [F.col("place"), F.col("text")], per_day).select("day", "place", F.substring("text", 1, most).alias("text"))
+
+
+def run_decisions(spark: SparkSession, path: str, schema: str = DECISION) -> DataFrame:
+    """Decisions of a run, one file of lines for each party; an empty run is an error."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("cid is not null")
+    if rows.limit(1).isEmpty():
+        raise ValueError(f"no decisions under {path}")
+    return rows
+
+
 def polls(spark: SparkSession, path: str, parties: list[str], least: int = 6) -> DataFrame:
     """``day, parti, support`` of a poll table with a column per party; rows with under ``least`` figures are left out."""
     rows = spark.read.option("header", True).csv(path)
