@@ -10,7 +10,7 @@ from votaria.llm.leakage import leaks
 from votaria.llm.mixing import mixture, shares
 from votaria.llm.personal import personal_mentions, redacted
 from votaria.llm.scanrepair import repaired
-from votaria.llm.textform import classes, lookalike_pairs, to_comparison, to_visual
+from votaria.llm.textform import LOOKALIKES, classes, lookalike_pairs, to_comparison, to_visual
 from votaria.tables import table
 
 
@@ -33,10 +33,10 @@ def p3_forms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, root: str) -> DataFrame:
-    """Records with look-alikes, with the class they belong to and the number of spellings."""
+    """Records with look-alikes, with the class they belong to (named after its first record) and the number of spellings."""
     found = classes(_texts(spark, root).where("key is not null"), ["field"], "text").distinct()
-    spellings = found.groupBy("field", "form_id").agg(F.count_distinct("raw_id").alias("n_spellings"))
-    return found.join(spellings, ["field", "form_id"]).select("field", "key", F.col("form_id").alias("class_id"), "n_spellings").distinct()
+    spellings = found.groupBy("field", "form_id").agg(F.count_distinct("raw_id").alias("n_spellings"), F.min("key").alias("class_key"))
+    return found.join(spellings, ["field", "form_id"]).select("field", "key", "class_key", "n_spellings").distinct()
 
 
 def _scanned(spark: SparkSession, root: str) -> DataFrame:
@@ -96,7 +96,30 @@ w as (select 'd' as kind, doc_id as id, text from documents where doc_id is not
 tok as (select kind, id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(strip_accents(nfc_normalize(text))), '[²]', '2', 'g'), '\\p{M}', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from w where text is not null),
 win as (select kind, id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(list_slice(ws, i, i + 11), ' '))) as p from tok where len(ws) >= 12)"""
 
+
+def _visual_sql(x: str) -> str:
+    """The common form in SQL, for the disguises of these tables: wide forms, ligatures, blanks, marks, signs without width, look-alikes."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    more = {"ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï", "ӓ": "ä", "ӧ": "ö", "Ӓ": "Ä", "Ӧ": "Ö", "ѐ": "è", "Ѐ": "È", "ό": "ó", "Ό": "Ó", "ӑ": "ă", "Ӑ": "Ă", "µ": "μ", "\u2010": "-", "\u2011": "-"}
+    pairs = {c: b for c, b in LOOKALIKES.items() if len(b) == 1} | more
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    x = f"regexp_replace({x}, '[\\x{{ad}}\\x{{61c}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{fe00}}-\\x{{fe0f}}\\x{{feff}}\\x{{180e}}\\x{{34f}}]', '', 'g')"
+    for a, b in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "..."}.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"nfc_normalize(translate({x}, '{wide}{''.join(pairs)}', '{narrow}{''.join(pairs.values())}'))"
+    return f"regexp_replace(regexp_replace({x}, '[\\t\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g'), ' +(\n|$)', '\\1', 'g')"
+
+
+_PASSAGES = f"""t3 as (
+  select 'forslag_text' as field, upper(trim(votering_id)) as key, forslag_text as t from cases where trim(votering_id) <> ''
+  union select 'citation_quote', x.cite_id::varchar, x.quote from (select unnest(citations) as x from decisions)
+  union select 'docblock_text', block_id::varchar, text from docblocks where kind = 'para'),
+v3 as (select field, key, t, {_visual_sql("t")} as form from t3 where t is not null and key is not null),
+sp as (select field, form, count(distinct t) as n_spellings from v3 group by all having count(distinct t) > 1)"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": f"with {_PASSAGES} select distinct a.field, a.key as key_a, b.key as key_b from v3 a join v3 b on a.field = b.field and a.form = b.form and a.key < b.key and a.t <> b.t",
+    "p3_classes": f"with {_PASSAGES} select distinct field, key, min(key) over (partition by field, form) as class_key, n_spellings from v3 join sp using (field, form)",
     "p6_found": f"with {_WINDOWS} select distinct d.id as doc_id, i.id as item_id from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i'",
     "p6_report": f"with {_WINDOWS} select i.id as item_id, count(distinct d.id) as n_docs, count(distinct i.p) as n_passages from win d join win i on d.p = i.p and d.kind = 'd' and i.kind = 'i' group by i.id",
 }

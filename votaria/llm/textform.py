@@ -26,7 +26,7 @@ _LINE_ENDS = re.compile("\r\n?|[\x0b\x0c\x1c-\x1e\x85  ]")
 _LOOKALIKE_TABLE = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(h): "-" for h in HYPHENS}
 _END_BLANKS = re.compile(r" +(?=\n|\Z)")
 #: Texts of these characters alone are already in the visual form, but for blanks at line ends.
-PLAIN = r"\A[\n -~åäöÅÄÖéüÉ²³½«»–—†°…•¬]*"
+PLAIN = r"\A[\n -~åäöÅÄÖéüÉ²³½«»–—†°•¬]*"
 _PLAIN = re.compile(PLAIN + r"\Z")
 #: Members of a class that meet in one task of the pair join, and classes up to which they are broadcast.
 PAIR_ROWS = 1_000
