@@ -120,3 +120,12 @@ def test_split_keeps_positions_and_extra_columns(spark):
     assert rows(split_packed(df.select("id", "s"), "s", ["id"])) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]
     long = "x," * 20_000
     assert split_packed(spark.createDataFrame([(1, long)], "id int, s string"), "s", ["id"]).count() == 20_000
+
+
+def test_signs_used_inside_are_kept(spark):
+    from votaria.operators import packed
+
+    odd = "".join(chr(c) for c in range(0xE0FE, 0xE118)) + packed._QUOTE
+    text = f'a{odd}b, "c{odd}, d" , {packed._ESCAPE}a'
+    got = spark.createDataFrame([(text,)], "t string").select(packed.packed_values("t")).first()[0]
+    assert got == [f"a{odd}b", f"c{odd}, d", f"{packed._ESCAPE}a"]

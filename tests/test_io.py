@@ -128,3 +128,53 @@ def test_contract():
 
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 60 and {"p1_found", "p2_found", "p4_found"} <= set(queries)
+
+
+def test_table_rows_notices_and_pages(spark, tmp_path):
+    import datetime
+
+    from votaria.sources import readers
+
+    (tmp_path / "px.json").write_text('﻿{"data":[{"key":["a","2024M01"],"values":["1.5"]},{"key":["a","2024M02"],"values":[".."]},{"key":["b"],"values":[]}]}', encoding="utf-8")
+    assert [(list(r.keys), r.value) for r in readers.pxweb(spark, str(tmp_path / "px.json")).collect()] == [(["a", "2024M01"], 1.5)]
+    (tmp_path / "n1.json").write_text('[{"published":"2024-05-01T10:00","title":"T","preamble":" "},{"published":"","title":"X"},{"published":"2024-05-02","preamble":"P","url":"u"}]')
+    (tmp_path / "n2.json").write_text('{"items":[{"published":"2024-05-02","preamble":"P","url":"u"}]}')
+    got = sorted((r.day, r.text, r.source) for r in readers.notices(spark, str(tmp_path / "n*.json")).collect() if r.source or True)
+    assert sorted(got, key=str) == [(datetime.date(2024, 5, 1), "T", None), (datetime.date(2024, 5, 2), "P", "u")]
+    item = "En händelse som är lång nog för att tas med i listan"
+    (tmp_path / "page.html").write_text(f'<p id="2024_March_5">x</p><ul><li>{item} <b>1</b></li><li>kort</li>' + "".join(f"<li>{item} {i}</li>" for i in range(2, 10)) + f'<li>{item}\na\nb\nc</li></ul><p id="2024_March_6"></p><li>{"y" * 500}</li>')
+    pages = readers.daily_pages(spark, str(tmp_path / "page.html")).collect()
+    assert sorted(r.text for r in pages if r.day == datetime.date(2024, 3, 5)) == [f"{item} {i}" for i in range(1, 7)]
+    assert [len(r.text) for r in pages if r.day == datetime.date(2024, 3, 6)] == [400]
+
+
+def test_runs_versions_and_merges(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from votaria.sources import readers, sinks
+
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "A.jsonl").write_text('{"cid":"1","rost":"Ja"}\n\n{"cid":"2"\n')
+    assert [r.cid for r in readers.run_decisions(spark, str(tmp_path / "run")).collect()] == ["1"]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "A.jsonl").write_text("\n")
+    with pytest.raises(ValueError):
+        readers.run_decisions(spark, str(tmp_path / "empty"))
+    place = str(tmp_path / "versions")
+    for n in (3, 5):
+        sinks.replace_table(spark.range(n), place)
+        assert sinks.read_current(spark, place).count() == n
+    files = tmp_path / "workers"
+    files.mkdir()
+    (files / "g1.json").write_text('[{"cid":"a","rost":"Ja"},{"cid":"a","rost":"Nej"},{"cid":"zz"}]')
+    (files / "g2.json").write_text('{"cid":"b"}\n{"cid":"c"')
+    issued = spark.createDataFrame([("g1.json", "a"), ("g2.json", "b"), ("g2.json", "c")], "file string, cid string")
+    target = str(tmp_path / "merged")
+    assert {r.verdict: r.n for r in sinks.merge_files(spark, str(files), issued, target).collect()} == {"added": 2, "repeated": 1, "foreign": 1, "missing": 1}
+    assert {r.verdict: r.n for r in sinks.merge_files(spark, str(files), issued, target).collect()} == {"added": 0, "repeated": 3, "foreign": 1, "missing": 1}
+    assert sinks.next_batch(spark.createDataFrame([(4,), (7,)], "batch_no int")) == 8 and sinks.next_batch(spark.createDataFrame([], "batch_no int")) == 1
+    keyed = spark.createDataFrame([(1, "p", 1), (1, "p", 2), (2, "q", 1)], "k int, part string, o int")
+    for want in (2, 0):
+        assert sinks.append_new(keyed, str(tmp_path / "parts"), ["k", "part"], F.col("o"), "part") == want
+    assert sinks.append_new(keyed.withColumn("k", F.col("k") + 10).where("part = 'q'"), str(tmp_path / "parts"), ["k", "part"], F.col("o"), "part") == 1

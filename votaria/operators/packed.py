@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,25 @@ BRACKETS = "()[]{}"
 _GUARDED = DELIMITERS + BRACKETS
 _STANDINS = "".join(chr(0xE100 + i) for i in range(len(_GUARDED)))
 _QUOTE = ""
+# Stand-ins that a text already holds are written as this sign and a letter while it is taken apart.
+_ESCAPE = chr(0xE0FE)
+_HELD = _ESCAPE + _STANDINS + _QUOTE
 
 
 def _replace(c: Column, source: str, target: str) -> Column:
     return F.translate(c, source, target)
 
 
+def _escaped(c: Column) -> Column:
+    done = reduce(lambda x, i: F.replace(x, F.lit(_HELD[i]), F.lit(_ESCAPE + chr(97 + i))), range(len(_HELD)), c)
+    return F.when(c.rlike(f"[{_HELD}]"), done).otherwise(c)
+
+
+def _restored(c: Column) -> Column:
+    done = reduce(lambda x, i: F.replace(x, F.lit(_ESCAPE + chr(97 + i)), F.lit(_HELD[i])), reversed(range(len(_HELD))), c)
+    return F.when(F.contains(c, F.lit(_ESCAPE)), done).otherwise(c)
+
+
 def packed_values(col: Column | str) -> Column:
     """The values of a packed text as ``array<string>``, in order, repeated values kept.
 
@@ -29,7 +44,7 @@ def packed_values(col: Column | str) -> Column:
     come without surrounding blanks, brackets and quotes. Null gives null; an empty or blank text gives an empty array.
     """
     text = F.col(col) if isinstance(col, str) else col
-    text = F.regexp_replace(F.regexp_replace(text, r'\\"', _QUOTE), r"\\'", "'")
+    text = F.regexp_replace(F.regexp_replace(_escaped(text), r'\\"', _QUOTE), r"\\'", "'")
     single = F.regexp_replace(text, r"(?:(?<=^|[\[(,;|/&+\t\n ])'|'(?=$|[\]),;|/&+\t\n ]))", '"')
     pieces = F.split(F.when(F.contains(text, F.lit('"')), text).otherwise(single), '"', -1)
     n = F.size(pieces)
@@ -43,7 +58,7 @@ def packed_values(col: Column | str) -> Column:
     guarded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(""), step)
     bare = F.translate(guarded, BRACKETS, " " * len(BRACKETS))
     values = F.split(F.regexp_replace(bare, rf"(?i)(?<=\s){WORD_DELIMITER}(?=\s)", ","), r"[,;|/&+\s]+", -1)
-    restored = F.transform(values, lambda v: F.trim(F.translate(v, _STANDINS + _QUOTE, _GUARDED + '"')))
+    restored = F.transform(values, lambda v: _restored(F.trim(F.translate(v, _STANDINS + _QUOTE, _GUARDED + '"'))))
     return F.when(text.isNotNull(), F.filter(restored, lambda v: v != ""))
 
 

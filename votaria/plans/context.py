@@ -363,10 +363,10 @@ def revenue_rollup(f: Frames) -> DataFrame:
     return rows.rollup("r_name", "month").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("revenue"), F.grouping_id().alias("level"))
 
 
-@query("select date_trunc('day', ts)::date as day, event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 6) as mean from events group by all")
+@query("select date_trunc('day', ts)::date as day, event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 4) as mean from events group by all")
 def daily_events(f: Frames) -> DataFrame:
     """Events per day and type."""
-    return table(f.spark, f.root, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+    return table(f.spark, f.root, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
 
 
 @query("select user_id, session, min(ts) as first_ts, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 6 hour then 0 else 1 end as new from events)) group by user_id, session")

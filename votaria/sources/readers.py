@@ -110,7 +110,7 @@ def pxweb(spark: SparkSession, path: str) -> DataFrame:
     """``keys, value`` of table files with rows of ``key`` and ``values``; values that are no numbers are passed over."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"))
     each = rows.select(F.explode(F.from_json(F.get_json_object("t", "$.data"), "array<struct<key:array<string>,values:array<string>>>")).alias("r"))
-    figures = each.select(F.col("r.key").alias("keys"), F.expr("try_cast(trim(r.values[0]) as double)").alias("value"))
+    figures = each.select(F.col("r.key").alias("keys"), F.expr("try_cast(trim(get(r.values, 0)) as double)").alias("value"))
     return figures.where("value is not null and not isnan(value)")
 
 
