@@ -226,3 +226,28 @@ def test_columns_that_are_not_needed_are_not_read(spark, name, unread):
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     schemas = " ".join(line.split("ReadSchema:")[1] for line in plan.split("\n") if "ReadSchema:" in line)
     assert schemas and not [c for c in unread if c in schemas]
+
+
+def test_verbatim_equals_brute_force(spark):
+    r = random.Random(1)
+    vocabulary = "a bb ccc dddd e ff ggg".split()
+    blocks = [(r.choice("xy"), " ".join(r.choices(vocabulary, k=r.randrange(1, 30)))) for _ in range(60)]
+    quotes = []
+    for i in range(150):
+        slug, text = r.choice(blocks)
+        start = r.randrange(len(text))
+        quote = text[start : start + r.randrange(1, 50)]  # may begin and end within a word
+        quotes.append((i, r.choice("xyz") if r.random() < 0.2 else slug, quote.replace("c", "C") if r.random() < 0.5 else quote + r.choice(["", "", " zz"])))
+    got = {x.i: x.verbatim for x in match.verbatim(spark.createDataFrame(quotes, "i int, slug string, quote string"), spark.createDataFrame(blocks, "slug string, text string"), ["slug"], "quote", "text").collect()}
+    assert got == {i: bool(q.strip()) and any(s == b and " ".join(q.lower().split()) in t for b, t in blocks) for i, s, q in quotes}
+
+
+def test_segments_hold_every_run(spark):
+    r = random.Random(2)
+    pieces = [("d", i, " ".join(f"w{r.randrange(1000)}" for _ in range(r.choice([1, 3, 40])))) for i in range(60)] + [("e", 0, "ensam"), ("e", 1, " ")]
+    got = spark.createDataFrame(pieces, "slug string, i int, text string")
+    parts = [x for x in match.segments(got, ["slug"], [F.col("i")], "text", 50, 12).collect()]
+    whole = " ".join(t for s, _, t in pieces if s == "d").split()
+    texts = [f" {x.text} " for x in parts if x.slug == "d"]
+    assert len(texts) > 3 and all(any(f" {' '.join(whole[i : i + 12])} " in t for t in texts) for i in range(len(whole) - 11))
+    assert [x.text for x in parts if x.slug == "e"] == ["ensam"] and max(len(t.split()) for t in texts) <= 50 + 12 + 2 * 40

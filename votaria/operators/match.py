@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from votaria.functions.text import match_key
 from votaria.operators.asof import asof_join
+from votaria.operators.shape import ordered
 
 #: Documents (rows) up to which a document dimension is broadcast.
 BROADCAST_ROWS = 100_000
@@ -69,16 +70,49 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, value: str) -> Da
     return joined.withColumn(value, F.coalesce("_exact", "_loose")).drop("_key", "_exact", "_loose")
 
 
+#: Whole words by which long quotes meet the texts that may hold them.
+GRAM_WORDS = 5
+
+
+def _grams(words: Column, first: Column, last: Column) -> Column:
+    """Hashes of the runs of GRAM_WORDS words that begin at ``first`` to ``last`` (from 1)."""
+    runs = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM_WORDS), " ")))
+    return F.when(last >= first, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def verbatim(citations: DataFrame, blocks: DataFrame, on: list[str], quote: str, text: str) -> DataFrame:
     """Adds ``verbatim``: whether some block of the cited document contains the quote; an empty quote is none.
 
-    Quotes meet the blocks of their own document only; a document's blocks are joined, not multiplied by other documents.
+    A quote may begin and end within a word, but its inner words stand whole in the block. So a quote of GRAM_WORDS + 2
+    words or more meets the blocks of its document by the hash of its second to sixth word, and only blocks with that
+    run are searched; no document is multiplied by its quotes. Shorter quotes are compared with each distinct block.
     """
-    distinct = citations.where(F.trim(quote) != "").select(*on, quote).distinct().withColumn("_q", match_key(F.col(quote)))
-    hits = distinct.join(blocks.select(*on, match_key(F.col(text)).alias("_t")).distinct(), on).where(F.contains("_t", F.col("_q"))).select(*on, quote).distinct().withColumn("verbatim", F.lit(True))
+    quotes = citations.where(F.trim(quote) != "").select(*on, quote).distinct().withColumn("_q", match_key(F.col(quote))).withColumn("_w", F.split("_q", " "))
+    texts = blocks.select(*on, match_key(F.col(text)).alias("_t")).distinct()
+    long = quotes.where(F.size("_w") >= GRAM_WORDS + 2).withColumn("_g", F.xxhash64(F.array_join(F.slice("_w", 2, GRAM_WORDS), " ")))
+    wanted = long.select(*on, "_g").distinct()
+    words = F.split("_t", " ")
+    runs = texts.select(*on, "_t", F.explode(_grams(words, F.lit(1), F.size(words) - (GRAM_WORDS - 1))).alias("_g")).join(wanted, [*on, "_g"], "left_semi")
+    met = long.select(*on, quote, "_q", "_g").join(runs, [*on, "_g"]).drop("_g")
+    short = quotes.where(F.size("_w") < GRAM_WORDS + 2).select(*on, quote, "_q").join(texts, on)
+    hits = met.select(*on, quote, "_q", "_t").unionByName(short.select(*on, quote, "_q", "_t")).where(F.contains("_t", F.col("_q"))).select(*on, quote).distinct().withColumn("verbatim", F.lit(True))
     return citations.join(hits, [*on, quote], "left").withColumn("verbatim", F.coalesce("verbatim", F.lit(False)))
 
 
+def segments(pieces: DataFrame, by: list[str], order: list[Column], text: str, words: int, overlap: int) -> DataFrame:
+    """``by, segment, text``: the pieces of each group in order, joined to texts of about ``words`` words that overlap.
+
+    Any run of up to ``overlap`` words of the whole lies in the segment in which it begins. A group is numbered by
+    ranges (see ``ordered``), so its size bounds no task.
+    """
+    sized = pieces.withColumn("_n", F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("bigint")).where("_n > 0")
+    laid = ordered(sized, by, order, running={"_end": "_n"}).withColumn("_start", F.col("_end") - F.col("_n"))
+    first = F.greatest(F.lit(0), F.floor((F.col("_start") - F.lit(overlap)) / F.lit(words)))
+    each = laid.withColumn("segment", F.explode(F.sequence(first, F.floor((F.col("_end") - 1) / F.lit(words)))))
+    # about ``words`` words, and a piece at either end
+    return each.groupBy(*by, "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", text))), lambda x: x[text]), " ").alias(text))
+
+
 def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 

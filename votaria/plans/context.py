@@ -146,6 +146,8 @@ def verbatim_citations(f: Frames) -> DataFrame:
 
 #: Quotes of a document searched by one row; the document is shuffled once for so many.
 QUOTES_AT_ONCE = 8
+#: Words of a document in one segment.
+SEGMENT_WORDS = 20_000
 
 
 def quote_verdicts(f: Frames) -> DataFrame:
@@ -153,15 +155,18 @@ def quote_verdicts(f: Frames) -> DataFrame:
     quotes = _citations(f).where("trim(quote) <> ''").select("slug", "quote").distinct()
     checked = cut(match.verbatim(quotes, _blocks(f), ["slug"], "quote", "text"))
     missed = checked.where("not verbatim and slug is not null").select("slug", "quote")
-    # whole documents are searched: a document's paragraphs in order, beside some of its quotes at a time
-    paras = table(f.spark, f.root, "docblocks").where("kind = 'para' and slug is not null and text is not null").select("slug", F.struct("page", "seq", "block_id", "text").alias("p"))
-    whole = paras.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("p"))["text"], " ").alias("text"))
-    group = F.pmod(F.xxhash64("quote"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("slug")) / QUOTES_AT_ONCE)))
-    groups = missed.withColumn("group", group).groupBy("slug", "group").agg(F.collect_list("quote").alias("quotes")).join(whole, "slug")
+    # whole documents are searched, in overlapping segments: a document's paragraphs in order, beside some of its quotes at a time
+    paras = table(f.spark, f.root, "docblocks").where("kind = 'para' and slug is not null and text is not null").select("slug", "page", "seq", "block_id", "text").distinct()
+    widest = missed.agg(F.coalesce(F.max(F.size(F.split("quote", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
+    parts = match.segments(paras, ["slug"], [F.col("page"), F.col("seq"), F.col("block_id"), F.col("text")], "text", SEGMENT_WORDS, widest + 8)
+    group = F.pmod(F.xxhash64("quote"), F.greatest(F.lit(1), F.ceil(F.col("n") / QUOTES_AT_ONCE)))
+    many = missed.groupBy("slug").agg(F.count("*").alias("n"))
+    groups = missed.join(many, "slug").withColumn("group", group).groupBy("slug", "group").agg(F.collect_list("quote").alias("quotes")).join(parts, "slug")
     # few bytes, much work: keep one task per core, which adaptive execution would merge
-    groups = groups.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "group")
-    found = groups.select("slug", F.explode(match.closest_spans("quotes", "text")).alias("found"))
-    spans = found.select("slug", "found.quote", "found.span", F.round("found.ratio", 4).alias("ratio"))
+    groups = groups.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "group", "segment")
+    found = groups.select("slug", "segment", F.explode(match.closest_spans("quotes", "text")).alias("found"))
+    best = F.max_by(F.struct("found.span", F.round("found.ratio", 4).alias("ratio")), F.struct("found.ratio", -F.col("segment")))
+    spans = found.groupBy("slug", F.col("found.quote").alias("quote")).agg(best.alias("b")).select("slug", "quote", "b.span", "b.ratio")
     return checked.join(spans, ["slug", "quote"], "left")
 
 

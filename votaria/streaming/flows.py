@@ -19,6 +19,14 @@ def ingest(stream: DataFrame, path: str, key: list[str], order: str, checkpoint:
     return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key, F.col(order)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def still_wanted(stream: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """Issued work that has not come back: a stream against the table of what is done, read anew for each batch.
+
+    What is missing when a batch runs is issued again with the next one; nothing is kept as state.
+    """
+    return stream.join(done.select(*key).distinct(), key, "left_anti")
+
+
 def bounded_distinct(stream: DataFrame, at: str, key: list[str], late: str) -> DataFrame:
     """Each key once within the watermark; state is bounded by ``late``."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
