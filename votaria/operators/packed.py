@@ -47,15 +47,16 @@ def packed_values(col: Column | str) -> Column:
     text = F.regexp_replace(F.regexp_replace(_escaped(text), r'\\"', _QUOTE), r"\\'", "'")
     single = F.regexp_replace(text, r"(?:(?<=^|[\[(,;|/&+\t\n ])'|'(?=$|[\]),;|/&+\t\n ]))", '"')
     pieces = F.split(F.when(F.contains(text, F.lit('"')), text).otherwise(single), '"', -1)
-    n = F.size(pieces)
 
-    def step(state: Column, i: Column) -> Column:
-        piece = F.element_at(pieces, i + 1)
-        odd = i % 2 == 1
-        escaped = (piece == "") & (i > 0) & (i < n - 1)
-        return F.concat(state, F.when(odd & (i < n - 1), _replace(piece, _GUARDED, _STANDINS)).when(~odd & escaped, _QUOTE).otherwise(piece))
+    def step(state: Column, piece: Column) -> Column:
+        odd = state["i"] % 2 == 1
+        doubled = (piece == "") & (state["i"] > 0)
+        part = F.when(odd, _replace(piece, _GUARDED, _STANDINS)).when(doubled, _QUOTE).otherwise(piece)
+        return F.struct((state["i"] + 1).alias("i"), F.concat(state["text"], part).alias("text"))
 
-    guarded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(""), step)
+    # the last piece is none between quotes: it stays as it is
+    inner = F.slice(pieces, 1, F.size(pieces) - 1)
+    guarded = F.concat(F.aggregate(inner, F.struct(F.lit(0).alias("i"), F.lit("").alias("text")), step)["text"], F.element_at(pieces, -1))
     bare = F.translate(guarded, BRACKETS, " " * len(BRACKETS))
     values = F.split(F.regexp_replace(bare, rf"(?i)(?<=\s){WORD_DELIMITER}(?=\s)", ","), r"[,;|/&+\s]+", -1)
     restored = F.transform(values, lambda v: _restored(F.trim(F.translate(v, _STANDINS + _QUOTE, _GUARDED + '"'))))
