@@ -241,3 +241,65 @@ def quarantined(f: Frames) -> DataFrame:
 def alternative_counts(f: Frames) -> DataFrame:
     """Rows of alternatives per division."""
     return table(f.spark, f.root, "alternatives").select(key_form("votering_id").alias("key_form")).where("key_form is not null").groupBy("key_form").agg(F.count("*").alias("n"))
+
+
+# ---- streams ----
+
+
+def _streamed(f: Frames, rows: DataFrame, parts: int = 4) -> tuple[DataFrame, str]:
+    """The rows as a stream of files in the shared folder, and a folder for what comes of it."""
+    from votaria.streaming import flows
+
+    source = _place(f, "stream")
+    rows.repartition(parts).write.parquet(source)
+    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
+    return flows.file_stream(f.spark, source, schema, "parquet"), _place(f, "streamed")
+
+
+def _finished(f: Frames, stream: DataFrame, place: str) -> DataFrame:
+    """The state of an aggregating stream when all its files are read."""
+    written = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(place)).option("checkpointLocation", f"{place}-checkpoint").trigger(availableNow=True)
+    written.start().awaitTermination()
+    return f.spark.read.parquet(place)
+
+
+@query("select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(avg(value), 3) as mean from events where ts is not null group by all")
+def streamed_days(f: Frames) -> DataFrame:
+    """Events in tumbling windows of a day, as a stream with a watermark."""
+    from votaria.streaming import flows
+
+    stream, place = _streamed(f, table(f.spark, f.root, "events").where("ts is not null").select("ts", "event_type", "value"))
+    done = _finished(f, flows.tumbling(stream, "ts", "1 day", "31 days", ["event_type"], "value"), place)
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 3).alias("mean"))
+
+
+@query("select run_id, max(usage['output_tokens']) as most from d where usage is not null group by run_id")
+def streamed_usage(f: Frames) -> DataFrame:
+    """The greatest output of each run, kept as the state of a stream."""
+    from votaria.streaming import flows
+
+    stream, place = _streamed(f, f.decisions.where("usage is not null").select("run_id", F.element_at("usage", "output_tokens").alias("most")))
+    return _finished(f, flows.latest_usage(stream, ["run_id"], "most"), place)
+
+
+@query("select run_id, count(*) as n from d group by run_id")
+def streamed_ingest(f: Frames) -> DataFrame:
+    """Decisions delivered twice by a stream and appended once each."""
+    from votaria.streaming import flows
+
+    once = f.decisions.select("run_id", "cid", "rost", "inkom_ts")
+    stream, place = _streamed(f, once.union(once))
+    flows.ingest(stream, place, ["run_id", "cid"], "inkom_ts", f"{place}-checkpoint").awaitTermination()
+    return f.spark.read.parquet(place).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query(_with("dn as (select distinct votering_id, parti from d where run_id = 'run-p6-1')", "select parti, count(*) as n from c, party where not exists (select 1 from dn where dn.votering_id = c.votering_id and dn.parti = party.parti) group by parti"))
+def streamed_pending(f: Frames) -> DataFrame:
+    """Issued work as a stream, without what a run has already decided, counted per party."""
+    from votaria.streaming import flows
+
+    issued = f.cases.select("votering_id").crossJoin(F.broadcast(f.parties.select("parti")))  # eight parties
+    stream, place = _streamed(f, issued)
+    wanted = flows.still_wanted(stream, f.decisions.where("run_id = 'run-p6-1'"), ["votering_id", "parti"])
+    wanted.writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{place}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f.spark.read.schema("votering_id string, parti string").parquet(place).groupBy("parti").agg(F.count("*").alias("n"))
