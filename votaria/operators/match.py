@@ -145,6 +145,10 @@ def _rising(masks: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: n
     return found
 
 
+#: Starts of windows that are bounded together, and blocks looked into at a time.
+BLOCK_WORDS, BLOCKS_AT_ONCE = 6, 4
+
+
 class Spans:
     """The windows of words of one text, searched for any number of quotes."""
 
@@ -156,56 +160,71 @@ class Spans:
         sizes = np.array([len(w) + 1 for w in self.words], dtype=np.int64)
         self.at = np.concatenate([[0], np.cumsum(sizes)])  # where each word starts
 
-    def closest(self, quote: str) -> tuple[str, float]:
-        """The window most like ``quote``, with its Ratcliff/Obershelp ratio; see ``closest_span``."""
+    def closest(self, quote: str, least: float = 0.0) -> tuple[str, float]:
+        """The window most like ``quote``, with its Ratcliff/Obershelp ratio, if that is ``least`` or more; see ``closest_span``."""
         q = " ".join(quote.split())
         n = len(q.split())
-        widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)]
-        if not q or not widths:
+        widths = np.array([w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)])
+        if not q or not len(widths):
             return "", 0.0
         masks = np.zeros((len(self.signs), (len(q) + 63) // 64), dtype=np.uint64)
         places = {chr(p): i for i, p in enumerate(self.signs)}
         for i, c in enumerate(q):
             if c in places:
                 masks[places[c], i // 64] |= np.uint64(1 << (i % 64))
-        starts = np.arange(len(self.words) - widths[0] + 1)
-        ends = np.minimum(starts + np.array(widths)[:, None], len(self.words))
-        lengths = self.at[ends] - self.at[starts] - 1
-        bound = 2.0 * _rising(masks, self.codes, self.at[starts], lengths, len(q)) / (lengths + len(q))
-        fits = starts + np.array(widths)[:, None] <= len(self.words)
-        best, top, tried = "", 0.0, set()
-        rows, cols = np.nonzero(fits)
-        for k in np.lexsort((cols, rows, -bound[rows, cols])):
-            row, i = int(rows[k]), int(cols[k])
-            if bound[row, i] <= top:
-                break
-            candidate = self.text[self.at[i] : self.at[i] + lengths[row, i]]
-            if candidate not in tried:
-                tried.add(candidate)
-                if (r := _ratio(q, candidate)) > top:
-                    best, top = candidate, r
-        return best, top
+        # blocks of starts: the stretch over all windows of a block bounds each of them
+        last = len(self.words)
+        starts = np.arange(last - widths[0] + 1)
+        heads = starts[::BLOCK_WORDS]
+        ends = np.minimum(heads + BLOCK_WORDS - 1 + widths[-1], last)
+        stretch = _rising(masks, self.codes, self.at[heads], (self.at[ends] - self.at[heads] - 1)[None, :], len(q))[0]
+        sizes = self.at[np.minimum(starts + widths[:, None], last)] - self.at[starts] - 1
+        shortest = np.array([sizes[:, h : h + BLOCK_WORDS].min() for h in heads])
+        coarse = 2.0 * np.minimum(stretch, len(q)) / (shortest + len(q))
+        order = np.argsort(-coarse, kind="stable")
+        best, top, tried, done = "", max(0.0, np.nextafter(least, 0.0)), set(), 0
+        while done < len(order) and coarse[order[done]] > top:
+            some = order[done : done + BLOCKS_AT_ONCE]
+            done += BLOCKS_AT_ONCE
+            inside = np.concatenate([starts[h : h + BLOCK_WORDS] for h in heads[some[coarse[some] > top]]])
+            lengths = sizes[:, inside]
+            bound = 2.0 * _rising(masks, self.codes, self.at[inside], lengths, len(q)) / (lengths + len(q))
+            rows, cols = np.nonzero((inside + widths[:, None] <= last) & (bound > top))
+            for k in np.lexsort((cols, rows, -bound[rows, cols])):
+                row, col = int(rows[k]), int(cols[k])
+                if bound[row, col] <= top:
+                    break
+                i = int(inside[col])
+                candidate = self.text[self.at[i] : self.at[i] + lengths[row, col]]
+                if candidate not in tried:
+                    tried.add(candidate)
+                    if (r := _ratio(q, candidate)) > top:
+                        best, top = candidate, r
+        return (best, top) if best else ("", 0.0)
 
 
 def closest_span(quote: str, source: str) -> tuple[str, float]:
     """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio; the first on ties.
 
     Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; without any the span is empty with ratio 0. The signs of all matching blocks are a common
-    subsequence, so the longest one bounds the ratio from above; windows are compared in the order of that bound,
-    until no bound exceeds the best ratio found.
+    subsequence, so the longest one bounds the ratio from above. Windows are bounded in blocks first, then one by one,
+    and compared in the order of that bound, until no bound exceeds the best ratio found.
     """
     return Spans(source).closest(quote)
 
 
-def closest_spans(quotes: Column | str, source: Column | str) -> Column:
-    """``closest_span`` of each of an array of ``quotes`` as ``array<struct<quote, span, ratio>>``; null where either side is null."""
+def closest_spans(quotes: Column | str, source: Column | str, least: float = 0.0) -> Column:
+    """``closest_span`` of each of an array of ``quotes`` as ``array<struct<quote, span, ratio>>``; null where either side is null.
+
+    A span whose ratio is under ``least`` is not looked for: it comes out as empty, with ratio 0.
+    """
 
     def run(quotes: pd.Series, sources: pd.Series) -> pd.Series:
         def of(listed, source):
             if listed is None or not isinstance(source, str):
                 return None
             spans = Spans(source)
-            return [{"quote": q, **dict(zip(("span", "ratio"), spans.closest(q), strict=True))} for q in listed]
+            return [{"quote": q, **dict(zip(("span", "ratio"), spans.closest(q, least), strict=True))} for q in listed]
 
         return pd.Series([of(q, s) for q, s in zip(quotes, sources, strict=True)], dtype=object)
 

@@ -146,6 +146,8 @@ def verbatim_citations(f: Frames) -> DataFrame:
 
 #: Quotes of a document searched by one row; the document is shuffled once for so many.
 QUOTES_AT_ONCE = 8
+#: The ratio from which a span stands in for a quote; lower ones are not looked for.
+LEAST_RATIO = 0.75
 #: Words of a document in one segment.
 SEGMENT_WORDS = 20_000
 
@@ -164,7 +166,7 @@ def quote_verdicts(f: Frames) -> DataFrame:
     groups = missed.join(many, "slug").withColumn("group", group).groupBy("slug", "group").agg(F.collect_list("quote").alias("quotes")).join(parts, "slug")
     # few bytes, much work: keep one task per core, which adaptive execution would merge
     groups = groups.repartition(max(f.spark.sparkContext.defaultParallelism, int(f.spark.conf.get("spark.sql.shuffle.partitions"))), "slug", "group", "segment")
-    found = groups.select("slug", "segment", F.explode(match.closest_spans("quotes", "text")).alias("found"))
+    found = groups.select("slug", "segment", F.explode(match.closest_spans("quotes", "text", LEAST_RATIO)).alias("found"))
     best = F.max_by(F.struct("found.span", F.round("found.ratio", 4).alias("ratio")), F.struct("found.ratio", -F.col("segment")))
     spans = found.groupBy("slug", F.col("found.quote").alias("quote")).agg(best.alias("b")).select("slug", "quote", "b.span", "b.ratio")
     return checked.join(spans, ["slug", "quote"], "left")
@@ -172,7 +174,7 @@ def quote_verdicts(f: Frames) -> DataFrame:
 
 @query()
 def repaired_citations(f: Frames) -> DataFrame:
-    """Quotes that are not verbatim, with the closest span of their document and the verdict (ratio 0.75)."""
+    """Quotes that are not verbatim, with the closest span of their document and the verdict; the ratio is 0 where no span reaches 0.75."""
     rows = _citations(f).where("trim(quote) <> ''").join(quote_verdicts(f).where("not verbatim").withColumnsRenamed({"slug": "_slug", "quote": "_quote"}), F.col("slug").eqNullSafe(F.col("_slug")) & (F.col("quote") == F.col("_quote")))
     return rows.select("run_id", "cid", "cite_id", F.when(F.col("ratio") >= 0.75, F.col("span")).alias("span"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.when(F.col("ratio") >= 0.75, "corrected").otherwise("unverifiable").alias("verdict"))
 
