@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from votaria.session import cut
 
 
+#: Rows of counts per group up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def latest_per_key(df: DataFrame, key: list[str], order: Column, ties: Sequence[str] = ()) -> DataFrame:
     """The row with the greatest ``order`` for each key, null orders last.
 
@@ -64,8 +68,10 @@ def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int) ->
     """About ``n`` rows, each stratum in proportion but never empty; picks depend on ``key`` and ``seed`` alone."""
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
     total = sizes.agg(F.sum("_size").alias("_total"))
+    few = sizes.count() <= BROADCAST_ROWS
     quota = sizes.crossJoin(F.broadcast(total)).withColumn("_quota", F.greatest(F.lit(1), F.round(F.lit(n) * F.col("_size") / F.col("_total"))))  # one total row
-    ranked = df.join(F.broadcast(quota.select(*strata, "_quota")), strata).withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    quota = quota.select(*strata, "_quota")
+    ranked = df.join(F.broadcast(quota) if few else quota, strata).withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(key, F.lit(seed)), key)))
     return ranked.where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
 
 
@@ -86,14 +92,15 @@ def dense(counts: DataFrame, spine: DataFrame, on: list[str], values: list[str])
     return F.broadcast(spine).join(counts, on, "left").fillna(0, values)
 
 
-def ordered(df: DataFrame, by: list[str], order: list[Column], row: str = "_row", size: str = "_size", running: dict[str, str] | None = None, parts: int = 32) -> DataFrame:
+def ordered(df: DataFrame, by: list[str], order: list[Column], row: str = "_row", size: str = "_size", running: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
     """Numbers the rows of each group in order from 0 (``row``) and adds the size of the group, without one task for a group.
 
     Rows are laid out in ranges of group and order. Each range is numbered by itself, and the counts of the ranges before
-    it (one row for each range of a group) are added. ``running`` maps names to columns whose sums up to the row are
+    it (one row for each range of a group) are added; these are broadcast while they are few. ``running`` maps names to columns whose sums up to the row are
     wanted as well. Ties in ``order`` should be broken by a key, else their numbers may differ between runs.
     """
     sums = running or {}
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
     laid = cut(laid)
     within = Window.partitionBy(*by, "_range").orderBy(*order)
@@ -104,7 +111,7 @@ def ordered(df: DataFrame, by: list[str], order: list[Column], row: str = "_row"
     whole = Window.partitionBy(*by)
     shift = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(size), *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums], *[F.sum(f"_sum_{name}").over(whole).alias(f"{name}_total") for name in sums])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_at"))
-    joined = local.join(F.broadcast(shift), same)  # at most one row for each range and group that begins in it
+    joined = local.join(F.broadcast(shift) if totals.count() <= BROADCAST_ROWS else shift, same)
     return joined.withColumns({row: F.col(row) + F.col("_before")} | {name: F.col(name) + F.col(f"_before_{name}") for name in sums}).drop("_range", "_at", "_before", *[f"_before_{name}" for name in sums], *[f"_by_{c}" for c in by])
 
 
