@@ -178,3 +178,25 @@ def test_runs_versions_and_merges(spark, tmp_path):
     for want in (2, 0):
         assert sinks.append_new(keyed, str(tmp_path / "parts"), ["k", "part"], F.col("o"), "part") == want
     assert sinks.append_new(keyed.withColumn("k", F.col("k") + 10).where("part = 'q'"), str(tmp_path / "parts"), ["k", "part"], F.col("o"), "part") == 1
+
+
+def test_a_cycle_of_a_run(spark, tmp_path):
+    from votaria.plans.cycle import run_cycle
+
+    text = "Regeringen ska stärka kommunernas ansvar för skolan och vården i hela landet."
+    blocks = spark.createDataFrame([("s", 1, text)], "slug string, place int, text string")
+    cite = lambda q, d="plan": {"document": d, "slug": "s", "quote": q}
+    rows = [{"cid": "1", "citations": [cite("stärka kommunernas ansvar"), cite("stärka kommunemas ansvar för skolan och vården"), cite("något som inte alls finns här")]}, {"cid": "2", "citations": []}, {"cid": "9"}]
+    import json
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "g.json").write_text(json.dumps(rows), encoding="utf-8")
+    issued = spark.createDataFrame([("g.json", "1"), ("g.json", "2"), ("g.json", "3")], "file string, cid string")
+    for _ in range(2):  # again, without effect
+        done = {r.name: r.n_bad for r in run_cycle(spark, str(tmp_path / "in"), issued, blocks, str(tmp_path / "run"), str(tmp_path / "mended"), [("plan", "hela landet")], [("plan", "kommunernas ansvar")]).collect()}
+        assert done == {"foreign": 1, "missing": 1, "repeated": 0, "not verbatim": 0}
+    from votaria.sources import sinks
+
+    mended = {r.cid: r for r in sinks.read_current(spark, str(tmp_path / "mended")).collect()}
+    assert [c.quote for c in mended["1"].citations] == ["stärka kommunernas ansvar", "stärka kommunernas ansvar för skolan och vården", ""] and mended["1"].n_weak == 2
+    assert set(mended["1"].flags) == {"citat_korrigerat", "citat_ej_verifierat", "citat_svagt"} and mended["2"].citations == []

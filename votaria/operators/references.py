@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from votaria.expr import key_form
 from votaria.session import cut
 
+#: Undecided months of keys (about 200 bytes each) up to which they are broadcast to the records; beyond it the join is salted.
+BROADCAST_ROWS = 100_000
+SALTS = 16
 _END = "9999-12-31 00:00:00"
 _START = "0001-01-01 00:00:00"
 
@@ -80,14 +83,14 @@ def _children(references: Sequence[Reference]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("key is not null")
 
 
-def orphan_references(references: Sequence[Reference], targets: Sequence[Target]) -> DataFrame:
+def orphan_references(references: Sequence[Reference], targets: Sequence[Target], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Orphans as ``src_table, ref_field, ref_value, period, reason, n`` (``n``: referring rows).
 
     Keys of parents and children are united in long form and grouped by parent table and key. Children enter this
     group as one row per source, key and month (map-side combined), with their first and last arrival; so a key held
     by a third of all rows is a handful of rows there. A group without the parent flag is ``missing``. Where all
     arrivals of a month fall on one side of every change of the parent, the month is settled from the group alone;
-    only the other months are joined back to single records. Null and blank references are no references; a record
+    only the other months are joined back to single records, by a broadcast while they are few, else salted. Null and blank references are no references; a record
     without arrival time counts as coming in before every target, with a null period. Empty tables give no rows.
     """
     children = _children(references)
@@ -115,7 +118,14 @@ def orphan_references(references: Sequence[Reference], targets: Sequence[Target]
     settled = cut(each.withColumn("reason", verdict).where("reason <> 'ok'"))
     out = ["src_table", "ref_field", F.col("key").alias("ref_value"), "period", "reason", "n"]
     mixed = settled.where("reason = 'mixed'").select("parent", "key", "src_table", "ref_field", F.col("period").alias("_period"), "first_in", "spans")
-    records = children.join(mixed, ["parent", "key", "src_table", "ref_field"]).where(F.col("period").eqNullSafe(F.col("_period")))
+    on = ["parent", "key", "src_table", "ref_field"]
+    if mixed.count() <= broadcast_rows:
+        mixed = F.broadcast(mixed)
+    else:  # a key with very many records is dealt over several tasks
+        children = children.withColumn("_salt", F.pmod(F.xxhash64("at", "period"), F.lit(SALTS)).cast("int"))
+        mixed = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = [*on, "_salt"]
+    records = children.join(mixed, on).where(F.col("period").eqNullSafe(F.col("_period")))
     alive = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") < s["end"]))
     single = records.where(~alive).withColumn("reason", F.when(F.col("first_in") <= F.col("at"), "deleted").otherwise("late"))
     single = single.groupBy("src_table", "ref_field", "key", "period", "reason").agg(F.count("*").alias("n"))

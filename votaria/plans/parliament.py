@@ -9,7 +9,7 @@ from votaria import domain
 from votaria.operators import counterfactual as cf
 from votaria.operators import decisions as dc
 from votaria.operators import roll
-from votaria.operators.shape import apportion, capped, chunks, dense, every_kth, islands, latest_per_key
+from votaria.operators.shape import apportion, capped, chunks, dense, every_kth, islands, latest_per_key, ordered
 from votaria.tables import table
 
 
@@ -129,10 +129,10 @@ def chamber_outcome(f: Frames) -> DataFrame:
     return roll.chamber(f.pos)
 
 
-@query(f"select votering_id, datum, coalesce(case when trim(rubrik) <> '' then rubrik end, beteckning) as rubrik, rm || ':' || beteckning || ' p.' || punkt as bet, gov_pos, outcome from (select votering_id, min(position) as gov_pos from p where parti in ({_GOV}) group by votering_id having min(position) = max(position) and min(position) in ('Ja', 'Nej')) join (select votering_id, case when sum(n_ja) > sum(n_nej) then 'Ja' else 'Nej' end as outcome from p group by votering_id) using (votering_id) join c using (votering_id) where gov_pos <> outcome")
+@query(f"select votering_id, datum, coalesce(case when trim(rubrik) <> '' then rubrik end, beteckning) as rubrik, rm || ':' || beteckning || ' p.' || punkt as bet, gov_pos, outcome, (row_number() over (order by datum desc nulls last, votering_id) - 1) as place from (select votering_id, min(position) as gov_pos from p where parti in ({_GOV}) group by votering_id having min(position) = max(position) and min(position) in ('Ja', 'Nej')) join (select votering_id, case when sum(n_ja) > sum(n_nej) then 'Ja' else 'Nej' end as outcome from p group by votering_id) using (votering_id) join c using (votering_id) where gov_pos <> outcome")
 def gov_defeats(f: Frames) -> DataFrame:
-    """Divisions the government line lost."""
-    return roll.defeats(f.pos, f.cases)
+    """Divisions the government line lost, the newest first."""
+    return ordered(roll.defeats(f.pos, f.cases), [], [F.desc_nulls_last("datum"), F.col("votering_id")]).withColumn("place", F.col("_row").cast("bigint")).drop("_row", "_size")
 
 
 def _pairs(source: str, line: str) -> str:

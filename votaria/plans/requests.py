@@ -105,3 +105,20 @@ def cleaned_narrative(f: Frames) -> DataFrame:
     """Titles written as a page of tables and numbers, and read back as its running text."""
     page = F.concat(F.lit("<style>p{}</style><table><tr><td>Tabell 1</td></tr></table><h1>"), F.trim("rubrik"), F.lit("</h1><p>12 345,6</p>\n<p>"), F.trim("rubrik"), F.lit("</p>"))
     return f.cases.where("trim(rubrik) <> '' and length(trim(rubrik)) > 4").select("votering_id", F.trim(F.regexp_replace(tx.narrative(page), r"\s*\n\s*", "\n")).alias("text"))
+
+
+_SUBST = context._SCRUBBED.replace("forslag_text", "text")
+for _pattern, _by in ((tx.PARTY_TAG, ""), (tx.PARTY_NAME, "\\1partiet\\2")):
+    _SUBST = f"regexp_replace({_SUBST}, '{context._q(_pattern)}', '{_by}', 'g')"
+
+
+@query(_with(f"{_RES}, {_COVER}, top as (select votering_id, doc_id, row_number() over (partition by votering_id order by score desc, doc_id) as r from sc qualify r <= 3), tx as (select doc_id, any_value(text) as text from documents where text is not null group by doc_id), bd as (select doc_id, left(trim(regexp_replace({_SUBST}, '{context._WS}', ' ', 'g')), 2600) as body from tx where doc_id in (select doc_id from top)), cd as (select votering_id, list(body order by r) as candidates from top join bd using (doc_id) group by votering_id), nj as (select votering_id, arg_min(text, alt_id) as nej_demand from a1 where alt_id like 'res-%' and text is not null group by votering_id)", "select votering_id, punkt, rubrik as topic, nej_demand, candidates from c join cd using (votering_id) left join nj using (votering_id)"))
+def committee_units(f: Frames) -> DataFrame:
+    """One unit for each division: its topic, what the other side asks for, and the scrubbed texts that may hold the committee's answer."""
+    best = documents.QUERIES["covering_documents"](f.spark, f.root).select("votering_id", "doc_id", "rank")
+    texts = table(f.spark, f.root, "documents").where("text is not null").groupBy("doc_id").agg(F.any_value("text").alias("text"))
+    bodies = best.join(texts, "doc_id").select("votering_id", "rank", F.substring(tx.scrub_substance(F.col("text")), 1, 2600).alias("body"))
+    # three at most
+    listed = bodies.groupBy("votering_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "body"))), lambda x: x["body"]).alias("candidates"))
+    demand = _alternatives(f).where("alt_id like 'res-%' and text is not null").groupBy("votering_id").agg(F.min_by("text", "alt_id").alias("nej_demand"))
+    return f.cases.join(listed, "votering_id").join(demand, "votering_id", "left").select("votering_id", "punkt", F.col("rubrik").alias("topic"), "nej_demand", "candidates")
