@@ -1,4 +1,7 @@
-"""Personal information: accuracy on made texts that were held out, and on plain sentences from other hands."""
+"""Personal information: accuracy on made texts of another seed, and on plain sentences that no writer made.
+
+SENTENCES were looked at while the word classes were chosen; UNTOUCHED were written afterwards and measured once.
+"""
 
 import re
 
@@ -44,6 +47,32 @@ Kvitto nr 2020-000123 gäller varan.
 Vänligen svara {name:Nils Bohr} senast fredag.""".splitlines()
 
 
+UNTOUCHED = """Min granne {name:Sofia Lindahl} har köpt en ny cykel.
+Rapporten överlämnades till {name:Håkan Wester} på fredagen.
+{name:B. Nyström} tackade nej.
+We met {name:Oliver Grant} outside the theatre.
+Ring mig på {phone:0730-55 12 34} efter lunch.
+Min e-post är {email:j.holm@skolan.nu} och jag svarar snabbt.
+{name:Ek, Johan} valdes till kassör.
+Huset på {address:Björkvägen 17} ska rivas.
+Kunden med personnummer {idnr:19640823-3234} ringde igen.
+Göteborgs Posten skrev om branden i Mölndal.
+Stora Enso lägger ner bruket i Kvarnsveden.
+Tåget mellan Falun och Borlänge var sent.
+The Red Cross opened a shelter in New Orleans.
+{name:Lars Magnus Ericsson} grundade företaget 1876.
+Faktura 20231234 ska betalas före 2024-01-31.
+Bankgiro 5051-6822 tillhör föreningen.
+Doktor {name:Fatima Hussein} tar emot på torsdagar.
+Tack vare {name:peter ström} blev det av.
+She wrote to {name:Emily Watson-Clarke} in March.
+Ordföranden {name:Ulla-Britt Sandell} öppnade mötet.
+Numret {phone:+46 70 555 12 34} är avstängt.
+Lagret ligger på {address:Industrigatan 44 C}, Umeå.
+Djurgården vann mot Malmö med 2-1.
+I Övre Norrland snöade det.""".splitlines()
+
+
 def parsed(line):
     text, spans, at = "", set(), 0
     for m in re.finditer(r"\{(\w+):([^}|]+)(?:\|(\d+))?(?:\|\d+)?\}", line):
@@ -73,13 +102,20 @@ def test_held_out_made_texts():
         assert hit[k] >= 0.93 * want[k] and hit[k] >= 0.93 * got[k], (k, hit[k], want[k], got[k])
 
 
-def test_plain_sentences_of_other_hands():
+def test_plain_sentences():
     texts = [parsed(line) for line in SENTENCES]
     known = personal.casing_of([t for t, _ in texts] + [t for t, _ in personal.training_texts(1_000, seed=5)])
     hit, want, got, wrong = counts(texts, known)
     assert sum(hit.values()) >= 0.9 * sum(want.values()) and sum(hit.values()) >= 0.9 * sum(got.values()), (hit, want, got, wrong)
 
 
+def test_untouched_sentences():
+    texts = [parsed(line) for line in UNTOUCHED]
+    known = personal.casing_of([t for t, _ in texts] + [t for t, _ in personal.training_texts(1_000, seed=5)])
+    hit, want, got, wrong = counts(texts, known)
+    assert sum(hit.values()) >= 13 and sum(want.values()) == 16 and sum(got.values()) <= 15, wrong
+
+
 @pytest.mark.parametrize("text", ["kontakta anna lindkvist", "Svensson, A. svarade", "Svensson A. svarade", "ANNA LINDKVIST", "Lindkvist, Anna", "A. B. Lindkvist", "Anna\nLindkvist"])
 def test_names_of_any_form_are_candidates(text):
     assert [c for c in personal.candidates(text, personal.Casing()) if c[0] == "name"]
