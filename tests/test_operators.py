@@ -1,7 +1,9 @@
 """Operators on small, hand-computed frames, and randomised comparisons with brute force."""
 
 import datetime as dt
+import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +278,34 @@ def test_all_labels_and_rules(spark, f, value, want):
 def test_a_quote_with_a_sign_changed_in_each_word():
     span, ratio = match.closest_span("kommvnen skal byqga nyа cykelvegar", "Ett två tre. kommunen skall bygga nya cykelvägar i år")
     assert span == "kommunen skall bygga nya cykelvägar" and ratio > 0.75
+
+
+def test_the_first_of_equal_spans_stays():
+    span, ratio = match.closest_span("a a aa b aa a aa", "b b b a a b")
+    assert span == "b b b a" and ratio == match._ratio("a a aa b aa a aa", "b a a b")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_blocks_equal_difflib(seed):
+    r = random.Random(seed)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abå ") for _ in range(r.randrange(30))) for _ in range(2))
+        assert match._ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_a_quote_costs_few_comparisons():
+    """Against the time of ``difflib`` for one pair of texts, so that the machine does not matter; whole windows took over 30 of them."""
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiourstnlkdmgvåäö") for _ in range(r.randrange(2, 12))) for _ in range(900)]
+    source = " ".join(r.choice(words) for _ in range(1_800))
+    have = source.split()
+    near = [" ".join(w[:-1] + "x" if r.random() < 0.15 else w for w in have[i : i + 30]) for i in range(0, 1_200, 100)]
+    far = [" ".join(r.choice(words) for _ in range(30)) for _ in range(4)]
+    spans = match.Spans(source)
+    began = time.process_time()
+    found = [spans.closest(q, 0.75) for q in near + far]
+    mine, began = time.process_time() - began, time.process_time()
+    for q in near + far:
+        difflib.SequenceMatcher(None, q, " ".join(have[:30]), autojunk=False).ratio()
+    assert all(ratio > 0.9 for _, ratio in found[: len(near)]) and not any(ratio for _, ratio in found[len(near) :])
+    assert mine < 12 * (time.process_time() - began)

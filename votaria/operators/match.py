@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from votaria.functions.text import match_key
 from votaria.operators.asof import asof_join
 from votaria.operators.shape import ordered
+from votaria.session import cut
 
 #: Documents (rows) up to which a document dimension is broadcast.
 BROADCAST_ROWS = 100_000
@@ -74,10 +78,16 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, value: str) -> Da
 GRAM_WORDS = 5
 
 
-def _grams(words: Column, first: Column, last: Column) -> Column:
-    """Hashes of the runs of GRAM_WORDS words that begin at ``first`` to ``last`` (from 1)."""
-    runs = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM_WORDS), " ")))
-    return F.when(last >= first, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def _gram(hashes: Column, first: Column) -> Column:
+    """Hash of the run of GRAM_WORDS words that begins at ``first`` (from 0), from the hashes of the words."""
+    return F.xxhash64(*[F.get(hashes, first + k) for k in range(GRAM_WORDS)])
+
+
+def _grams(words: Column) -> Column:
+    """Hashes of all runs of GRAM_WORDS words. Words are split and hashed once: a lambda would do so again for each run."""
+    last = lambda h: F.size(h) - GRAM_WORDS
+    runs = lambda h: F.when(last(h) >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last(h)), lambda i: _gram(h, i))))
+    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 0)
 
 
 def verbatim(citations: DataFrame, blocks: DataFrame, on: list[str], quote: str, text: str) -> DataFrame:
@@ -87,14 +97,15 @@ def verbatim(citations: DataFrame, blocks: DataFrame, on: list[str], quote: str,
     words or more meets the blocks of its document by the hash of its second to sixth word, and only blocks with that
     run are searched; no document is multiplied by its quotes. Shorter quotes are compared with each distinct block.
     """
-    quotes = citations.where(F.trim(quote) != "").select(*on, quote).distinct().withColumn("_q", match_key(F.col(quote))).withColumn("_w", F.split("_q", " "))
-    texts = blocks.select(*on, match_key(F.col(text)).alias("_t")).distinct()
-    long = quotes.where(F.size("_w") >= GRAM_WORDS + 2).withColumn("_g", F.xxhash64(F.array_join(F.slice("_w", 2, GRAM_WORDS), " ")))
-    wanted = long.select(*on, "_g").distinct()
-    words = F.split("_t", " ")
-    runs = texts.select(*on, "_t", F.explode(_grams(words, F.lit(1), F.size(words) - (GRAM_WORDS - 1))).alias("_g")).join(wanted, [*on, "_g"], "left_semi")
-    met = long.select(*on, quote, "_q", "_g").join(runs, [*on, "_g"]).drop("_g")
-    short = quotes.where(F.size("_w") < GRAM_WORDS + 2).select(*on, quote, "_q").join(texts, on)
+    quotes = cut(citations.where(F.trim(quote) != "").select(*on, quote).distinct().withColumn("_q", match_key(F.col(quote))))
+    texts = cut(blocks.select(*on, match_key(F.col(text)).alias("_t")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    n_words = F.size(F.split("_q", " "))
+    inner = F.transform(F.slice(F.split("_q", " "), 2, GRAM_WORDS), lambda w: F.xxhash64(w))
+    long = quotes.where(n_words >= GRAM_WORDS + 2).select(*on, quote, "_q", _gram(inner, F.lit(0)).alias("_g"))
+    # runs are numbers until they meet; texts follow for those that did
+    runs = texts.select(*on, "_id", F.explode(_grams(F.split("_t", " "))).alias("_g"))
+    met = long.join(runs, [*on, "_g"]).drop("_g").join(texts.select("_id", "_t"), "_id")
+    short = quotes.where(n_words < GRAM_WORDS + 2).select(*on, quote, "_q").join(texts, on)
     hits = met.select(*on, quote, "_q", "_t").unionByName(short.select(*on, quote, "_q", "_t")).where(F.contains("_t", F.col("_q"))).select(*on, quote).distinct().withColumn("verbatim", F.lit(True))
     return citations.join(hits, [*on, quote], "left").withColumn("verbatim", F.coalesce("verbatim", F.lit(False)))
 
@@ -113,40 +124,151 @@ def segments(pieces: DataFrame, by: list[str], order: list[Column], text: str, w
     return each.groupBy(*by, "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", text))), lambda x: x[text]), " ").alias(text))
 
 
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
+def _matched(a: str, b: str) -> int:
+    """Signs in the matching blocks of two texts, as ``difflib`` has them: the longest block, first in ``a``, then in ``b``, and so on at both sides."""
+    total, rest = 0, [(a, b)]
+    while rest:
+        a, b = rest.pop()
+        size = at = 0
+        for i in range(len(a)):
+            if i + size >= len(a):
+                break
+            if a[i : i + size + 1] in b:
+                at, size = i, size + 1
+                while at + size < len(a) and a[at : at + size + 1] in b:
+                    size += 1
+        if size:
+            total += size
+            j = b.index(a[at : at + size])
+            rest += [(x, y) for x, y in ((a[:at], b[:j]), (a[at + size :], b[j + size :])) if x and y]
+    return total
 
-def _rising(masks: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Longest common subsequence of a quote of ``n`` signs and the texts of ``lengths`` signs from each of ``starts``.
 
-    ``masks`` holds per sign of ``codes`` the bits of its places in the quote (64 to a word). Bit-parallel over all starts.
-    """
-    state = np.full((masks.shape[1], len(starts)), ~np.uint64(0))
-    found = np.zeros(lengths.shape, dtype=np.int64)
-    inside = np.full(masks.shape[1], ~np.uint64(0))
-    inside[-1] >>= np.uint64(masks.shape[1] * 64 - n)
-    order = np.argsort(lengths, axis=None, kind="stable")
-    sorted_lengths, done = lengths.ravel()[order], 0
-    for step in range(1, int(lengths.max()) + 1):
-        here = masks[codes[np.minimum(starts + step - 1, len(codes) - 1)]].T
-        carry = np.zeros(len(starts), dtype=np.uint64)
-        for k in range(len(state)):
-            hit = state[k] & here[k]
-            half = state[k] + hit
-            total = half + carry
-            carry = ((half < hit) | (total < half)).astype(np.uint64)
-            state[k] = total | (state[k] & ~here[k])
-        upto = int(np.searchsorted(sorted_lengths, step, side="right"))
-        if upto > done:
-            at = order[done:upto]
-            found.ravel()[at] = np.bitwise_count(~state[:, at % len(starts)] & inside[:, None]).sum(axis=0)
-            done = upto
-    return found
-
-
-#: Starts of windows that are bounded together, and blocks looked into at a time.
-BLOCK_WORDS, BLOCKS_AT_ONCE = 6, 4
+def _ratio(a: str, b: str) -> float:
+    """The Ratcliff/Obershelp ratio, equal to ``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()``."""
+    return 2.0 * _matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+#: Signs of a quote that are looked up exactly to find a first span, and the fewest that a piece may have to be looked up.
+SEED_SIGNS, PIECE_SIGNS = 16, 6
+#: Starts of windows that are bounded together.
+STARTS_AT_ONCE = 12
+
+
+class _Search:
+    """The best window of one text for one quote, as far as it is known."""
+
+    def __init__(self, spans: Spans, quote: str, widths: list[int], least: float):
+        self.spans, self.quote, self.widths = spans, quote, widths
+        self.best, self.top, self.place = "", max(0.0, float(np.nextafter(least, 0.0))), (0, 0)
+        self.bounds: dict[int, list[tuple[float, int, int]]] = {}  # bounds of the windows from a start
+
+    def bounded(self, starts: Iterable[int]) -> list[tuple[float, int, int]]:
+        """Bound, start and width of the windows from some starts: the longest common subsequence holds the signs of all blocks."""
+        new, n, at = [i for i in starts if i not in self.bounds], len(self.quote), self.spans.at
+        signs = set(self.quote)
+        for some in (new[k : k + STARTS_AT_ONCE] for k in range(0, len(new), STARTS_AT_ONCE)):
+            sizes = [[at[i + w] - at[i] - 1 for w in self.widths if i + w < len(at)] for i in some]
+            lane = max(x[-1] for x in sizes) + 1  # a bit between them takes the carry
+            first = at[min(some)]
+            stretch = (1 << (max(at[i] + x[-1] for i, x in zip(some, sizes, strict=True)) - first)) - 1
+            lanes = [(at[i] - first, (1 << x[-1]) - 1, k * lane) for k, (i, x) in enumerate(zip(some, sizes, strict=True))]
+            every = sum(ones << low for _, ones, low in lanes)
+            masks = {}
+            for c in signs:
+                here, mask = (self.spans.mask(c) >> first) & stretch, 0
+                if here:
+                    for head, ones, low in lanes:
+                        mask |= ((here >> head) & ones) << low
+                masks[c] = mask
+            state = every
+            for c in self.quote:
+                hit = state & masks[c]
+                if hit:
+                    state = ((state + hit) | (state ^ hit)) & every
+            state ^= every
+            for i, x, (_, _, low) in zip(some, sizes, lanes, strict=True):
+                own = state >> low
+                self.bounds[i] = [(2.0 * (own & ((1 << m) - 1)).bit_count() / (m + n), i, w) for m, w in zip(x, self.widths, strict=False)]
+        return [w for i in starts for w in self.bounds[i]]
+
+    def compare(self, windows: list[tuple[float, int, int]]) -> None:
+        """Compares windows in the order of their bounds; the first in the text, then the narrowest, stays on ties."""
+        for bound, start, width in sorted(windows, key=lambda w: (-w[0], w[1], w[2])):
+            if bound < self.top:
+                break
+            span = self.spans.window(start, width)
+            r = self.top if span == self.best else _ratio(self.quote, span)
+            if r > self.top or (r == self.top and self.best and (start, width) < self.place):
+                self.best, self.top, self.place = span, r, (start, width)
+
+    def seed(self) -> None:
+        """A first good span: where most pieces of the quote stand at the same distance."""
+        spans, votes = self.spans, Counter()
+        for o in range(0, len(self.quote) - SEED_SIGNS + 1, SEED_SIGNS):
+            at = spans.text.find(self.quote[o : o + SEED_SIGNS])
+            if at >= 0:
+                votes[(at - o) // SEED_SIGNS] += 1
+        if votes:
+            near = bisect_right(spans.at, votes.most_common(1)[0][0] * SEED_SIGNS) - 1
+            last = len(spans.words) - self.widths[0]
+            self.compare(self.bounded(range(max(0, near - 1), min(last, near + 4) + 1)))
+
+    def by_pieces(self) -> bool:
+        """Looks where a better window must be: it holds one of so many pieces unchanged. False if pieces would be too short.
+
+        A window of at least the best ratio leaves at most ``most`` signs of both texts out of its blocks. Each of them
+        spoils one piece of the quote at most, and shifts the pieces after it by one sign.
+        """
+        n, spans = len(self.quote), self.spans
+        most = int((1 - self.top) * 2 * n / self.top + 1e-6) if self.top > 0 else n
+        size = n // (most + 1)
+        if size < PIECE_SIGNS:
+            return False
+        last = len(spans.words) - self.widths[0]
+        starts: set[int] = set()
+        for o in range(0, (most + 1) * size, size):
+            piece = self.quote[o : o + size]
+            at = spans.text.find(piece)
+            while at >= 0:
+                starts.update(range(bisect_left(spans.at, at - o - most), min(last, bisect_right(spans.at, at - o + most) - 1) + 1))
+                at = spans.text.find(piece, at + 1)
+        self.compare(self.bounded(sorted(starts)))
+        return True
+
+    def by_distance(self) -> None:
+        """Looks at the windows whose end is near enough to the quote by edits (the best over all beginnings, at once for all ends)."""
+        spans, n = self.spans, len(self.quote)
+        every = (1 << len(spans.text)) - 1
+        masks = {c: spans.mask(c) for c in set(self.quote)}
+        more = fewer = 0  # where the distance rises or falls from one sign of the text to the next
+        for c in self.quote:
+            same = masks[c]
+            across = (((same & more) + more) ^ more) | same
+            up = (((fewer | ((across | more) ^ every)) << 1) | 1) & every
+            down = ((more & across) << 1) & every
+            same |= fewer
+            more = down | ((same | up) ^ every)
+            fewer = up & same
+        bits = [np.unpackbits(np.frombuffer(x.to_bytes(len(spans.text) // 8 + 1, "little"), dtype=np.uint8), bitorder="little").astype(np.int32) for x in (more, fewer)]
+        distance = n + np.cumsum(bits[0] - bits[1])
+        at = np.array(spans.at)
+        found = []
+        for w in self.widths:
+            sizes = at[w:] - at[:-w] - 1
+            # blocks leave out at least as many signs as there are edits, and as the lengths differ by
+            most = (sizes + n - np.maximum(distance[at[w:] - 2], np.abs(sizes - n))) // 2
+            bounds = 2.0 * most / (sizes + n)
+            found += [(float(bounds[i]), int(i)) for i in np.nonzero(bounds >= self.top)[0]]
+        reach: dict[int, float] = {}  # the best bound of each start
+        for bound, start in found:
+            reach[start] = max(bound, reach.get(start, 0.0))
+        order = sorted(reach, key=lambda i: (-reach[i], i))
+        for k in range(0, len(order), STARTS_AT_ONCE):
+            some = [i for i in order[k : k + STARTS_AT_ONCE] if reach[i] >= self.top]
+            if not some:
+                break
+            self.compare(self.bounded(some))
 
 
 class Spans:
@@ -155,60 +277,41 @@ class Spans:
     def __init__(self, source: str):
         self.words = source.split()
         self.text = " ".join(self.words)
-        points = np.frombuffer(self.text.encode("utf-32-le"), dtype=np.uint32)
-        self.signs, self.codes = np.unique(points, return_inverse=True)
-        sizes = np.array([len(w) + 1 for w in self.words], dtype=np.int64)
-        self.at = np.concatenate([[0], np.cumsum(sizes)])  # where each word starts
+        self.at = [0, *accumulate(len(w) + 1 for w in self.words)]  # where each word starts
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self._masks: dict[str, int] = {}
+
+    def mask(self, sign: str) -> int:
+        """The places of a sign in the text, as the bits of a number."""
+        if sign not in self._masks:
+            self._masks[sign] = int.from_bytes(np.packbits(self.codes == ord(sign), bitorder="little").tobytes(), "little")
+        return self._masks[sign]
+
+    def window(self, start: int, width: int) -> str:
+        return self.text[self.at[start] : self.at[start + width] - 1]
 
     def closest(self, quote: str, least: float = 0.0) -> tuple[str, float]:
         """The window most like ``quote``, with its Ratcliff/Obershelp ratio, if that is ``least`` or more; see ``closest_span``."""
         q = " ".join(quote.split())
         n = len(q.split())
-        widths = np.array([w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)])
-        if not q or not len(widths):
+        widths = [w for w in sorted({max(3, n - 3), n, n + 3, n + 8}) if 0 < w <= len(self.words)]
+        if not q or not widths:
             return "", 0.0
-        masks = np.zeros((len(self.signs), (len(q) + 63) // 64), dtype=np.uint64)
-        places = {chr(p): i for i, p in enumerate(self.signs)}
-        for i, c in enumerate(q):
-            if c in places:
-                masks[places[c], i // 64] |= np.uint64(1 << (i % 64))
-        # blocks of starts: the stretch over all windows of a block bounds each of them
-        last = len(self.words)
-        starts = np.arange(last - widths[0] + 1)
-        heads = starts[::BLOCK_WORDS]
-        ends = np.minimum(heads + BLOCK_WORDS - 1 + widths[-1], last)
-        stretch = _rising(masks, self.codes, self.at[heads], (self.at[ends] - self.at[heads] - 1)[None, :], len(q))[0]
-        sizes = self.at[np.minimum(starts + widths[:, None], last)] - self.at[starts] - 1
-        shortest = np.array([sizes[:, h : h + BLOCK_WORDS].min() for h in heads])
-        coarse = 2.0 * np.minimum(stretch, len(q)) / (shortest + len(q))
-        order = np.argsort(-coarse, kind="stable")
-        best, top, tried, done = "", max(0.0, np.nextafter(least, 0.0)), set(), 0
-        while done < len(order) and coarse[order[done]] > top:
-            some = order[done : done + BLOCKS_AT_ONCE]
-            done += BLOCKS_AT_ONCE
-            inside = np.concatenate([starts[h : h + BLOCK_WORDS] for h in heads[some[coarse[some] > top]]])
-            lengths = sizes[:, inside]
-            bound = 2.0 * _rising(masks, self.codes, self.at[inside], lengths, len(q)) / (lengths + len(q))
-            rows, cols = np.nonzero((inside + widths[:, None] <= last) & (bound > top))
-            for k in np.lexsort((cols, rows, -bound[rows, cols])):
-                row, col = int(rows[k]), int(cols[k])
-                if bound[row, col] <= top:
-                    break
-                i = int(inside[col])
-                candidate = self.text[self.at[i] : self.at[i] + lengths[row, col]]
-                if candidate not in tried:
-                    tried.add(candidate)
-                    if (r := _ratio(q, candidate)) > top:
-                        best, top = candidate, r
-        return (best, top) if best else ("", 0.0)
+        search = _Search(self, q, widths, least)
+        search.seed()
+        if not search.by_pieces():
+            search.by_distance()
+        return (search.best, search.top) if search.best else ("", 0.0)
 
 
 def closest_span(quote: str, source: str) -> tuple[str, float]:
     """The window of words in ``source`` most like ``quote``, with its Ratcliff/Obershelp ratio; the first on ties.
 
     Windows are as wide as the quote, 3 words narrower, 3 or 8 wider; without any the span is empty with ratio 0. The signs of all matching blocks are a common
-    subsequence, so the longest one bounds the ratio from above. Windows are bounded in blocks first, then one by one,
-    and compared in the order of that bound, until no bound exceeds the best ratio found.
+    subsequence, so the longest one bounds the ratio from above, and so does the distance by edits. If a first span is
+    good enough, a better one must hold a piece of the quote unchanged, and only the windows around these pieces are
+    bounded; else the distance of all windows is bounded at once. Windows are compared in the order of their bound, until
+    no bound reaches the best ratio found.
     """
     return Spans(source).closest(quote)
 

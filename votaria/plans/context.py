@@ -122,8 +122,8 @@ def capped_context(f: Frames) -> DataFrame:
 _CIT = "ct as (select distinct run_id, cid, x.cite_id, x.slug, x.document, x.quote from (select run_id, cid, unnest(citations) as x from d))"
 
 
-def _citations(f: Frames) -> DataFrame:
-    return f.decisions.select("run_id", "cid", F.inline("citations")).select("run_id", "cid", "cite_id", "slug", "document", "quote").distinct()
+def _citations(f: Frames, decisions: DataFrame | None = None) -> DataFrame:
+    return (f.decisions if decisions is None else decisions).select("run_id", "cid", F.inline("citations")).select("run_id", "cid", "cite_id", "slug", "document", "quote").distinct()
 
 
 def _blocks(f: Frames) -> DataFrame:
@@ -152,9 +152,9 @@ LEAST_RATIO = 0.75
 SEGMENT_WORDS = 20_000
 
 
-def quote_verdicts(f: Frames) -> DataFrame:
+def quote_verdicts(f: Frames, decisions: DataFrame | None = None) -> DataFrame:
     """``slug, quote, verbatim, span, ratio`` of each distinct quote; the nearest span of its document where it is not verbatim."""
-    quotes = _citations(f).where("trim(quote) <> ''").select("slug", "quote").distinct()
+    quotes = cut(_citations(f, decisions).where("trim(quote) <> ''").select("slug", "quote").distinct())
     checked = cut(match.verbatim(quotes, _blocks(f), ["slug"], "quote", "text"))
     missed = checked.where("not verbatim and slug is not null").select("slug", "quote")
     # whole documents are searched, in overlapping segments: a document's paragraphs in order, beside some of its quotes at a time

@@ -15,6 +15,7 @@ from votaria.plans import context
 from votaria.plans import parliament as pl
 from votaria.plans.context import PHRASES
 from votaria.plans.parliament import Frames, _with
+from votaria.session import cut
 from votaria.tables import table
 
 QUERIES: dict = {}
@@ -307,7 +308,8 @@ def marked_citations(f: Frames) -> DataFrame:
 @query()
 def repaired_decisions(f: Frames) -> DataFrame:
     """Decisions with their citations aligned with the cited document, then stripped and marked, and the counts of each step."""
-    done = repair.aligned(f.decisions, context.quote_verdicts(f), ["run_id", "cid"])
+    rows = cut(f.decisions.select("run_id", "cid", "citations", "flags"))
+    done = repair.aligned(rows, context.quote_verdicts(f, rows), ["run_id", "cid"])
     done = repair.marked(repair.stripped(done, PHRASES), BROAD)
     return done.select("run_id", "cid", "n_ok", "n_fixed", "n_failed", "n_blocked", "n_weak", F.transform("citations", lambda c: F.struct(c["cite_id"].alias("cite_id"), c["document"].alias("document"), c["quote"].alias("quote"), c["quote_ej_verifierad"].alias("quote_ej_verifierad"), c["svag"].alias("svag"))).alias("citations"), "flags")
 
