@@ -129,3 +129,27 @@ def test_signs_used_inside_are_kept(spark):
     text = f'a{odd}b, "c{odd}, d" , {packed._ESCAPE}a'
     got = spark.createDataFrame([(text,)], "t string").select(packed.packed_values("t")).first()[0]
     assert got == [f"a{odd}b", f"c{odd}, d", f"{packed._ESCAPE}a"]
+
+
+def test_daily_means_round_as_in_sql(spark, tmp_path, monkeypatch):
+    """Means that end in five at the fifth place: values are added in the order of rows, also beside a distinct count, and rounded by the product."""
+    import duckdb
+
+    from votaria.plans import context
+
+    r = random.Random(5)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k % 40), r.randrange(6), [None, "a", "b"][k % 3], r.randrange(60_000) / 100) for k in range(960)]
+    rows += [(960, None, None, None, None), (961, dt.datetime(2024, 5, 1), 1, "a", None), (962, dt.datetime(2024, 5, 2), 1, "a", float("inf"))]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(context.ORACLE["daily_events"][len(f"with {context.pl.BASE}") :]).fetchall()
+
+    class Read:
+        def __init__(self, spark, root):
+            self.spark, self.root = spark, root
+
+    monkeypatch.setattr(context, "Frames", Read)
+    got = [tuple(x) for x in context.QUERIES["daily_events"](spark, str(tmp_path)).select("day", "event_type", "n", "users", "mean").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -42,6 +42,12 @@ def rate(n: Column, d: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(n.cast("double"), d.cast("double")), digits)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do, by the product with a power of ten; ``round`` goes by its decimal form instead."""
+    near = F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), c).otherwise(near)
+
+
 def filled(col: Column | str) -> Column:
     """The text, or null when it is empty or blank."""
     c = F.col(col) if isinstance(col, str) else col

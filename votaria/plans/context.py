@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votaria import domain
-from votaria.expr import day_number, day_of, key_form, period_start
+from votaria.expr import day_number, day_of, key_form, period_start, rounded
 from votaria.functions import text as tx
 from votaria.operators import match
 from votaria.operators import quality as ql
@@ -373,7 +373,11 @@ def revenue_rollup(f: Frames) -> DataFrame:
 @query("select date_trunc('day', ts)::date as day, event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 4) as mean from events group by all")
 def daily_events(f: Frames) -> DataFrame:
     """Events per day and type."""
-    return table(f.spark, f.root, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = table(f.spark, f.root, "events").withColumn("day", F.to_date("ts"))
+    # beside a distinct count the engine would add values up by user, and the sums of doubles would differ from SQL's
+    means = rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), rounded(F.avg("value"), 4).alias("mean"))
+    users = rows.groupBy(F.col("day").alias("_day"), F.col("event_type").alias("_type")).agg(F.count_distinct("user_id").alias("users"))
+    return means.join(users, F.col("day").eqNullSafe(F.col("_day")) & F.col("event_type").eqNullSafe(F.col("_type"))).select("day", "event_type", "n", "users", "mean")
 
 
 @query("select user_id, session, min(ts) as first_ts, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 6 hour then 0 else 1 end as new from events)) group by user_id, session")
